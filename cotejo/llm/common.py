@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside an operator: it sorts before every other id and leaves as null.
 NULL_ID = -(2**63)
+#: Spark deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, and a
-    lost executor costs no more than the tasks that read it."""
+    lost executor costs no more than the tasks that read it. The shuffle files of the write go
+    with it, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +54,3 @@ def crc_remainder(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files of frames that are no longer held. It
-    acts only when the driver collects garbage, which a driver with little to do seldom does."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
+from .decontaminate import op5_decontaminate
+from .near import op9_near_dedup
 from .substrings import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": op5_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
+}
