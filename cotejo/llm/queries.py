@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .decontaminate import op5_decontaminate
+from .langid import op6_language_id
+from .lm_score import op7_lm_score
 from .near import op9_near_dedup
+from .packing import op4_packing
+from .sharding import op1_sharding
 from .substrings import op10_substring_dedup
+from .syncmers import op2_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_fingerprints": op2_fingerprints,
+    "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language_id": op6_language_id,
+    "op7_lm_score": op7_lm_score,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
