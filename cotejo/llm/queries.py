@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, lines
 from .decontaminate import op5_decontaminate
 from .langid import op6_language_id
+from .lines import op8_line_dedup
 from .lm_score import op7_lm_score
 from .near import op9_near_dedup
 from .packing import op4_packing
@@ -23,9 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_lm_score": op7_lm_score,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
+    "op8_line_dedup": lines.ORACLE,
 }
