@@ -15,11 +15,13 @@ from .near import op9_near_dedup
 from .packing import op4_packing
 from .sharding import op1_sharding
 from .substrings import op10_substring_dedup
+from .suffixes import op3_suffix_dedup
 from .syncmers import op2_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
