@@ -1,3 +1,78 @@
-"""A corpus through language ID, line dedup, near-dedup, decontamination and packing."""
+"""A corpus through language ID, line dedup, near-dedup, decontamination and packing.
 
-STAGES = []
+Each stage works on all rows that its predecessor kept. Nulls, empty tables and other edge cases
+are as the operators define them; a stage drops a row only by its own decision.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from cotejo.llm import decontaminate, langid, lines, near, packing
+from cotejo.llm.common import NULL_ID, cut, documents, id_in
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids."""
+    ids = ids.select(id_in().alias("_id")).distinct()
+    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_id"), how)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that no language is found in (null, or without a letter)."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    if not model.families:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return langid.label(docs, model).filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines out that an earlier line nearly equals, and drops documents with nothing left."""
+    found = lines.without_lines(docs, lines.removed_lines(docs))
+    left = (F.size("lines.removed") == 0) | F.col("lines.kept").rlike(r"\S")
+    return _with_text(found.filter(left), F.col("lines.kept")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies, and one row of rows that
+    repeat it."""
+    kept = _only(docs, near.near_dedup(docs).filter("kept"), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.filter("n_hit > 0"), "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Tokens and packing are beyond SQL; tests/llm holds the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import spans as S
-from .common import crc_remainder, documents, id_in, id_out
+from .common import crc_remainder, documents, id_in
 
 SAMPLE, FEATURES = 2000, 4096
 UNKNOWN = "und"
@@ -149,13 +150,10 @@ def train(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> Model:
 
 
 def _predict(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = np.zeros(256, dtype=np.int64)
         letter[65:91] = letter[97:123] = 1
         for batch in batches:
-            ids = S.ids_of(batch)
             for rows, data, offsets in S.text_parts(batch):
                 if model.families:
                     langs, score = model.predict(data, offsets)
@@ -165,18 +163,26 @@ def _predict(model: Model):
                 for k in np.flatnonzero(np.diff(plain) == 0):
                     if not any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode()):
                         langs[k], score[k] = UNKNOWN, 0.0
-                yield S.batch_of(schema, ids[rows], langs, score)
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                columns = [*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "_lang", "_score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) for every row of docs. Null texts and texts without a
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """All rows and columns of docs, with _lang and _score (0 to 1). Null texts and texts without a
     letter are `und` with score 0, and so is all else if the model learned no language. Ties go
     to the name that sorts first. Nulls in other columns don't matter, a null doc_id is kept, rows
     that repeat are predicted each, and an empty table gives an empty result."""
-    texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double").withColumn("doc_id", id_out())
+    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
+    return docs.mapInArrow(_predict(model), schema)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score for every row of docs; see label."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return label(texts, model).select("doc_id", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def held_out() -> Column:

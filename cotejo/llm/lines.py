@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, id_in, id_out
+from .common import cut, documents, id_in
 from .syncmers import _let, word_hashes
 
 PLACES = 1 << 16
@@ -61,15 +61,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("key").distinct()
 
 
-def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """doc_id, n_lines, removed (numbers of the lines that go, from 0) and kept (the others, joined
-    by line feeds) for every row of docs.
+def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
+    the ids with such lines.
 
     Lines end at line feeds; order is by doc_id, then by place. A line of fewer words than `size`
-    stays always. Matches are judged on the input, not on what is left. A null text has no lines
-    and stays null in kept; an empty one has one. A null doc_id sorts before all others; rows that
-    repeat a doc_id are one document, whose removed lines go from each. Other columns are ignored;
-    an empty table gives an empty result."""
+    stays always. Matches are judged on the input, not on what is left. A null text has no lines,
+    an empty one has one. A null doc_id sorts before all others; rows that repeat a doc_id are one
+    document, whose removed lines go from each. Other columns are ignored; an empty table gives an
+    empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     lines = _lines(texts)
     rarity = _rarity(lines, size)
@@ -96,11 +96,23 @@ def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     verdict = firsts.select("key", F.col("at").alias("first")).join(gone.withColumn("gone", F.lit(True)), "key", "left")
     places = lines.select(key.alias("key"), "doc_id", "line_no")
     removed = places.join(verdict, "key").filter(F.col("gone").isNotNull() | (F.col("first") != F.struct("doc_id", "line_no")))
-    removed = cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
-    none = F.expr("cast(array() as array<int>)")
-    out = texts.join(removed, "doc_id", "left").select("doc_id", F.split("text", "\n").alias("parts"), F.coalesce("removed", none).alias("removed"))
-    kept = F.when(F.size("removed") == 0, F.col("parts")).otherwise(F.filter("parts", lambda _, i: ~F.array_contains("removed", i)))
-    return out.select(id_out(), F.coalesce(F.array_size("parts"), F.lit(0)).cast("long").alias("n_lines"), "removed", F.array_join(kept, "\n").alias("kept"))
+    return cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+
+
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """All rows and columns of docs, and a struct `lines` with n_lines, removed and kept (the other
+    lines, joined by line feeds; null for a null text)."""
+    gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    rows = docs.withColumn("_key", id_in()).join(gone, F.col("_key") == F.col("_id"), "left")
+    rows = rows.withColumn("_parts", F.split(F.col("text").cast("string"), "\n")).withColumn("_removed", F.coalesce("_removed", F.expr("cast(array() as array<int>)")))
+    kept = F.when(F.size("_removed") == 0, F.col("_parts")).otherwise(F.filter("_parts", lambda _, i: ~F.array_contains("_removed", i)))
+    lines = F.struct(F.coalesce(F.array_size("_parts"), F.lit(0)).cast("long").alias("n_lines"), F.col("_removed").alias("removed"), F.array_join(kept, "\n").alias("kept"))
+    return rows.select(*docs.columns, lines.alias("lines"))
+
+
+def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, n_lines, removed and kept for every row of docs; see removed_lines."""
+    return without_lines(docs.select("doc_id", "text"), removed_lines(docs, percent, size)).select("doc_id", "lines.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
