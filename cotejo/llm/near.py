@@ -2,10 +2,12 @@
 
 Texts of equal word sequences are one node, the least doc_id. 128 MinHash values of a node's
 5-word shingles make 25 bands of 5; a pair at similarity 0.85 shares none with probability 4e-7.
-Inside a bucket not all pairs are made: its members are ranked (those with most company first),
-and in each round the next ranks, four times as many as before, are compared with the members
-that are not yet in their component. A group of copies is linked after the first rounds, and
-its other pairs are never made; a bucket is done when its members are all linked or all compared.
+Not all pairs of a bucket are made. First the member with most company is compared with the
+others, which links a group of copies in one step. Buckets whose members are then in different
+components join up to clusters, and there each node outside the cluster's largest component (a
+query) meets all nodes of the cluster, in blocks of at most QUERIES queries; a block keeps its
+own union of components, so that a query looks only for components it isn't linked with, nearest
+signatures first, and puts out the links found, not the pairs compared.
 
 A proposed pair goes through its signature in batches of 16. With m of n values equal and a flat
 prior, the chance that the similarity reaches the threshold is P(Binomial(n + 1, t) <= m); the
@@ -22,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import spans as S
 from .common import cut, documents, id_in, id_out
 from .components import components
 
 VALUES, BANDS, ROWS, BATCH = 128, 25, 5, 16
+#: Queries of one block, and groups that small clusters are dealt to.
+QUERIES, SMALL_GROUPS = 256, 1 << 12
 _A = S.mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = S.mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))
 
@@ -147,40 +150,94 @@ def _exact(size: int, percent: int):
     return run
 
 
+def _cluster_links(size: int, percent: int, miss: float):
+    """Links of the queries of each cluster in a group with nodes of other components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    needs = least_matches(percent / 100, miss)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
+        cluster, node, root, query = (table[c].to_numpy() for c in ("cluster", "node", "root", "query"))
+        texts, found = table["text"], []
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(cluster)) + 1, [len(cluster)]])
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            sigs, sets, parent = _matrix(table["sig"][low:high]), {}, {}
+
+            def shingles(k: int, low=low, sets=sets) -> np.ndarray:
+                if k not in sets:
+                    data = np.frombuffer((texts[low + k].as_py() or "").encode(), dtype=np.uint8)
+                    sets[k] = shingle_rows(data, np.array([0, len(data)]), size)[0]
+                return sets[k]
+
+            def find(r: int, parent=parent) -> int:
+                while parent.get(r, r) != r:
+                    r = parent[r]
+                return r
+
+            for q in np.flatnonzero(query[low:high]):
+                alive, matches = np.arange(high - low), np.zeros(high - low, dtype=np.int64)
+                for n, least in needs.items():
+                    cols = slice(n - BATCH, n)
+                    matches = matches + (sigs[alive, cols] == sigs[q, cols]).sum(axis=1)
+                    keep = matches >= least
+                    alive, matches = alive[keep], matches[keep]
+                for k in alive[np.argsort(-matches, kind="stable")]:
+                    a, b = find(root[low + q]), find(root[low + k])
+                    if a == b:
+                        continue
+                    x, y = shingles(q), shingles(k)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((node[low + q], node[low + k]))
+        return pa.table([[x for x, _ in found], [y for _, y in found]], schema=schema)
+
+    return run
+
+
+def _blocks(state: DataFrame) -> DataFrame:
+    """state(node, root, cluster) with its queries, dealt: task_key, and whether the node is a query
+    there. Small clusters share groups; of large ones every block has all nodes."""
+    parts = state.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"))
+    main = main.select("cluster", "size", F.col("most.root").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / QUERIES).alias("blocks"))
+    rows = state.join(main, "cluster").withColumn("own", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    small = F.col("size") <= QUERIES
+    dealt = rows.select("*", F.explode(F.when(small, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("block"))
+    key = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(SMALL_GROUPS))).otherwise(F.xxhash64("cluster", "block").bitwiseOR(F.lit(SMALL_GROUPS)))
+    return dealt.select("node", "root", "cluster", key.alias("task_key"), F.when(small, F.col("own").isNotNull()).otherwise(F.coalesce(F.col("own") == F.col("block"), F.lit(False))).alias("query"))
+
+
 def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Two tables: every row's doc_id, n_shingles and node (null without words), and node, root for
     nodes that hang on a smaller root. See near_dedup."""
-    spark = docs.sparkSession
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     base = cut(texts.mapInArrow(_sketch(size), "doc_id long, n_shingles long, key binary, sig binary"), "sketches")
     nodes = cut(base.filter("sig is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "nodes")
-    sigs = nodes.groupBy("node").agg(F.max("sig").alias("sig"), F.max("key").alias("key"))
-    bands = sigs.select("node", "sig").mapInArrow(_bands, "band long, node long")
+    sigs = nodes.groupBy("node").agg(F.max("sig").alias("sig"))
+    bands = sigs.mapInArrow(_bands, "band long, node long")
     crowd = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(bands.join(crowd, "band"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    order = Window.partitionBy("band").orderBy(F.desc("company"), "node")
-    members = cut(members.join(company, "node").withColumn("rank", F.row_number().over(order) - 1).select("band", "node", "n", "rank"), "ranked")
+    members = cut(members.join(company, "node"), "members")
     bodies = cut(texts.join(members.select("node").distinct(), texts.doc_id == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "bodies")
 
-    largest = members.agg(F.max("rank")).first()[0] or 0
-    roots = spark.createDataFrame([], "node long, root long")
-    low, high, open_members = 0, 1, members
-    while low <= largest:
-        state = open_members.join(roots, "node", "left").select("band", "node", "rank", F.coalesce("root", "node").alias("root"))
-        several = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("rank").alias("last")).filter(f"r0 < r1 and last >= {low}").select("band")
-        open_members = cut(state.join(several, "band"), "open")
-        if open_members.isEmpty():
-            break
-        ahead = open_members.filter(f"rank >= {low} and rank < {high}").select("band", F.col("node").alias("a"), F.col("rank").alias("ra"), F.col("root").alias("root_a"))
-        pairs = ahead.join(open_members, "band").filter("rank > ra and root != root_a").select("a", F.col("node").alias("b")).distinct()
-        with_sigs = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        alive = cut(with_sigs.select("a", "b", "sa", "sb").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "alive")
-        with_texts = alive.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        links = with_texts.select("a", "b", "ta", "tb").mapInArrow(_exact(size, percent), "a long, b long")
-        roots = components(links.union(roots.toDF("a", "b")))
-        open_members = open_members.drop("root")
-        low, high = high, 4 * high
+    pivot = members.groupBy("band").agg(F.max(F.struct("company", "node")).alias("top")).select("band", F.col("top.node").alias("a"))
+    pairs = members.join(pivot, "band").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    with_sigs = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+    alive = cut(with_sigs.select("a", "b", "sa", "sb").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "alive")
+    with_texts = alive.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    links = cut(with_texts.select("a", "b", "ta", "tb").mapInArrow(_exact(size, percent), "a long, b long"), "links")
+    roots = components(links)
+
+    state = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    several = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.min("node").alias("hub")).filter("r0 < r1 and n > 2").select("band", "hub")
+    state = cut(state.join(several, "band"), "open")
+    clusters = components(state.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    state = state.select("node", "root").distinct().join(clusters.toDF("node", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    dealt = _blocks(cut(state, "clusters")).join(sigs, "node").join(bodies, "node")
+    more = dealt.groupBy("task_key").applyInArrow(_cluster_links(size, percent, miss), "a long, b long")
+    roots = components(cut(more, "links").union(roots.toDF("a", "b")))
     return base.join(nodes.select("key", "node"), "key", "left").select("doc_id", "n_shingles", "node"), roots
 
 
