@@ -27,8 +27,9 @@ from .common import cut, documents, id_in, id_out
 
 ANCHOR = 16
 SHARDS = 4
-#: Contexts that one bucket holds on average.
-BUCKET = 25_000
+STEP = 7
+#: Contexts that one bucket holds on average: few, so that its arrays stay in the CPU's cache.
+BUCKET = 4_000
 _U = np.uint64
 _SEED = 23
 
@@ -52,8 +53,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _contexts(window: int):
-    """h (minimizer), body (hash of the bytes), doc_id, start and n (windows) of each context."""
-    schema = pa.schema([("h", pa.int64()), ("body", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    """h (minimizer), body (hash of the bytes), doc_id and place (start and number of windows, in
+    one number) of each context."""
+    schema = pa.schema([("h", pa.int64()), ("body", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +74,7 @@ def _contexts(window: int):
                 stops[:-1] &= ~inside[1:] | (least[1:] != least[:-1])
                 a, b = np.flatnonzero(starts), np.flatnonzero(stops)
                 row = np.searchsorted(offsets, a, "right") - 1
-                yield S.batch_of(schema, S.signed(least[a]), S.signed(S.run_hashes(sums, a, b + window)), ids[rows][row], (a - offsets[row]).astype(np.int32), (b - a + 1).astype(np.int32))
+                yield S.batch_of(schema, S.signed(least[a]), S.signed(S.run_hashes(sums, a, b + window)), ids[rows][row], (a - offsets[row]) << 32 | (b - a + 1))
 
     return run
 
@@ -87,18 +89,17 @@ def _strings(window: int):
             texts = batch.column(batch.schema.get_field_index("text"))
             for k in range(len(ids)):
                 own, data = places[k].values, (texts[k].as_py() or "").encode()
-                start, n = own.field("start").to_numpy(), own.field("n").to_numpy()
-                cuts = [data[a : a + c + window - 1] for a, c in zip(start.tolist(), n.tolist(), strict=True)]
+                cuts = [data[p >> 32 : (p >> 32) + (p & 0xFFFFFFFF) + window - 1] for p in own.field("place").to_pylist()]
                 yield S.batch_of(schema, own.field("h"), own.field("body"), np.full(len(cuts), ids[k]), cuts)
 
     return run
 
 
 def _live(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, window: int) -> np.ndarray:
-    """Contexts that can share a window with another one of their minimizer. A common window holds
-    it with `half` more common bytes on one side; a context that has no partner for either side
-    is out. Contexts with their minimizer twice stay."""
-    half = (window - ANCHOR) // 2
+    """Contexts that can share a window with another one of their minimizer. The other bytes of a
+    common window are split between its sides in some way; by steps of STEP bytes on the left, a
+    common window means common bytes on both sides in one of a few widths. A context without a
+    partner in any of them is out. Contexts with their minimizer twice stay."""
     sums = S.prefix_sums(S.byte_values(_SEED, False)[data])
     owner = np.repeat(np.arange(len(h)), np.diff(offsets))
     at = np.arange(len(data) - ANCHOR + 1)
@@ -107,11 +108,16 @@ def _live(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, window: int) ->
     live = np.zeros(len(h), dtype=bool)
     live[row[count > 1]] = True
     row, place = row[count == 1], place[first[count == 1]]
-    for low, high in ((place - half, place + ANCHOR), (place, place + ANCHOR + half)):
+    rest = window - ANCHOR
+    for left in range(0, rest + 1, STEP):
+        low, high = place - left, place + ANCHOR + max(0, rest - left - STEP + 1)
         fits = (low >= offsets[row]) & (high <= offsets[row + 1])
         side = S.mix(S.run_hashes(sums, low[fits], high[fits]) ^ h[row[fits]])
-        _, group, n = np.unique(side, return_inverse=True, return_counts=True)
-        live[row[fits][n[group] > 1]] = True
+        order = np.argsort(side)
+        side = side[order]
+        twin = np.zeros(len(side) + 1, dtype=bool)
+        twin[1:-1] = side[1:] == side[:-1]
+        live[row[fits][order[twin[1:] | twin[:-1]]]] = True
     # a minimizer with a double keeps all its contexts
     return live | np.isin(h, h[np.setdiff1d(np.flatnonzero(live), row)])
 
@@ -147,19 +153,20 @@ def merged_blocks(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nd
     order of their first `depth` symbols, and the block of each, equal where these are."""
     lf, base = [], 0
     for bwt in bwts:
-        own = np.empty(len(bwt), dtype=np.int64)
-        own[np.argsort(bwt, kind="stable")] = np.arange(base, base + len(bwt))
+        own = np.empty(len(bwt), dtype=np.int32)
+        own[np.argsort(bwt, kind="stable")] = np.arange(base, base + len(bwt), dtype=np.int32)
         lf.append(own)
         base += len(bwt)
     symbols, step = np.concatenate(bwts), np.concatenate(lf)
-    suffix, block = np.arange(base), np.zeros(base, dtype=np.int64)
+    suffix, block = np.arange(base, dtype=np.int32), np.zeros(base, dtype=np.int32)
     for _ in range(depth):
         before = symbols[suffix]
         order = np.argsort(before, kind="stable")
         before, held = before[order], block[order]
-        split = np.zeros(base, dtype=np.int64)
-        split[1:] = (before[1:] != before[:-1]) | (held[1:] != held[:-1])
-        suffix, block = step[suffix[order]], np.cumsum(split)
+        split = np.zeros(base, dtype=bool)
+        np.not_equal(before[1:], before[:-1], out=split[1:])
+        split[1:] |= held[1:] != held[:-1]
+        suffix, block = step[suffix[order]], np.cumsum(split, dtype=np.int32)
     return suffix, block
 
 
@@ -248,18 +255,18 @@ def suffix_dedup(docs: DataFrame, window: int = 50, shards: int = SHARDS) -> Dat
     others. Rows that repeat a doc_id are one document: what is found in any of them goes from
     each. Other columns are ignored; an empty table gives an empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    contexts = texts.mapInArrow(_contexts(window), "h long, body long, doc_id long, start int, n int")
+    contexts = texts.mapInArrow(_contexts(window), "h long, body long, doc_id long, place long")
     shared = contexts.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
     contexts = cut(contexts.join(shared, "h"), "contexts")
-    firsts = cut(contexts.groupBy("h", "body").agg(F.min(F.struct("doc_id", "start", "n")).alias("first")), "firsts")
+    firsts = cut(contexts.groupBy("h", "body").agg(F.min(F.struct("doc_id", "place")).alias("first")), "firsts")
     several = firsts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    places = cut(firsts.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "body", "first.start", "first.n")).alias("places"), F.count("*").alias("c")), "places")
+    places = cut(firsts.join(several, "h").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "body", "first.place")).alias("places"), F.count("*").alias("c")), "places")
     buckets = max(1, (places.agg(F.sum("c")).first()[0] or 0) // BUCKET)
     strings = texts.join(places.select("doc_id", "places"), "doc_id").mapInArrow(_strings(window), "h long, body long, doc_id long, bytes binary")
     runs = strings.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(_merge(window, shards), "h long, body long, a int, b int")
     runs = cut(runs, "runs")
 
-    of_first = contexts.join(firsts, ["h", "body"]).select("h", "body", "doc_id", "start", "n", (F.col("doc_id") > F.col("first.doc_id")).alias("later"))
+    of_first = contexts.join(firsts, ["h", "body"]).select("h", "body", "doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), (F.col("doc_id") > F.col("first.doc_id")).alias("later"))
     whole = of_first.filter("later").select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     partly = of_first.filter("not later").join(runs, ["h", "body"]).select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + window - 1).alias("end"))
     hits = cut(whole.union(partly).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("hits")), "hits")
