@@ -7,7 +7,7 @@ those prefixes meet in an equi-join with length and positional bounds, and the f
 
 Equal lines count once, at their first place. A line goes if any earlier line matches, so not all
 pairs of a group are needed: first each prefix token proposes only its earliest line, and lines
-found so leave; only the others then meet all earlier lines. Texts are shuffled twice by id (for
+found so leave, twice; only the others then meet all earlier lines. Texts are shuffled twice by id (for
 the sets of lines with company, and for the result); all else is hashes.
 """
 
@@ -18,20 +18,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, id_in
-from .syncmers import _let, word_hashes
+from .syncmers import _let
 
 PLACES = 1 << 16
+#: Rounds in which each token proposes one line, the earliest that is still left.
+PIVOTS = 2
 LOW48 = (1 << 48) - 1
 
 
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
 def shingles(line: Column, size: int) -> Column:
     """Hashes of the runs of `size` words; none for shorter lines."""
     none = F.expr("cast(array() as array<bigint>)")
-    return _let(word_hashes(line), lambda h: F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(size))))).otherwise(none))
+    return _let(words_of(line), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size))))).otherwise(none))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _lines(texts: DataFrame, *others: str) -> DataFrame:
+    return texts.select("doc_id", *others, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _rarity(lines: DataFrame, size: int) -> Column:
@@ -46,26 +52,36 @@ def _rarity(lines: DataFrame, size: int) -> Column:
 
 
 def _match(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (key, other) that share a prefix token, other earlier, within the bounds."""
-    b = others.select("token", F.col("key").alias("other"), F.col("at").alias("other_at"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    """Pairs (at, other) of lines, other earlier, that can be as near as percent: lengths, places
+    of a shared prefix token, and then the number of shared prefix tokens. All that two lines share
+    up to the end of one's prefix is in both prefixes, so the rest of that line bounds what else
+    they share."""
+    b = others.select("token", F.col("at").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
     n, m = F.col("n"), F.col("m")
     within = (percent * n <= 100 * m) & (percent * m <= 100 * n)
     most = F.least("pos", "q") + F.least(n - F.col("pos"), m - F.col("q"))
-    return rows.join(b, "token").filter((F.col("other_at") < F.col("at")) & within & ((100 + percent) * most >= percent * (n + m))).select("key", "other").distinct()
+    pairs = rows.join(b, "token").filter((F.col("other") < F.col("at")) & within & ((100 + percent) * most >= percent * (n + m)))
+    rest = F.greatest(n - _prefix_size(n, percent), m - _prefix_size(m, percent))
+    shared = pairs.groupBy("at", "other", "n", "m").agg(F.count("*").alias("c"))
+    return shared.filter((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("at", "other")
+
+
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.floor((percent * n + 99) / 100).cast("int") + 1
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The keys of pairs whose sets are as near as percent."""
-    a, b = sets.select("key", F.col("tokens").alias("x")), sets.select(F.col("key").alias("other"), F.col("tokens").alias("y"))
-    both = pairs.join(a, "key").join(b, "other").select("key", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("key").distinct()
+    """The lines `at` of pairs whose sets are as near as percent."""
+    a, b = sets.select("at", F.col("tokens").alias("x")), sets.select(F.col("at").alias("other"), F.col("tokens").alias("y"))
+    both = pairs.join(a, "at").join(b, "other").select("at", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
     the ids with such lines.
 
-    Lines end at line feeds; order is by doc_id, then by place. A line of fewer words than `size`
+    Lines end at line feeds, words at blanks; order is by doc_id, then by place. A line of fewer words than `size`
     stays always. Matches are judged on the input, not on what is left. A null text has no lines,
     an empty one has one. A null doc_id sorts before all others; rows that repeat a doc_id are one
     document, whose removed lines go from each. Other columns are ignored; an empty table gives an
@@ -75,25 +91,28 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     rarity = _rarity(lines, size)
     order = F.transform(shingles(F.col("line"), size), lambda x: F.shiftleft(F.get(rarity, x.bitwiseAND(F.lit(PLACES - 1)).cast("int")), 48).bitwiseOR(x.bitwiseAND(F.lit(LOW48))))
     n = F.size("tokens")
-    prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
     key = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     keyed = lines.select(key.alias("key"), F.struct("doc_id", "line_no").alias("at"), F.sort_array(F.array_distinct(order)).alias("tokens")).filter(n > 0)
+    prefix = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
     firsts = keyed.select("key", "at", n.alias("n"), prefix.alias("prefix")).groupBy("key").agg(F.min("at").alias("at"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
     firsts = cut(firsts, "lines")
 
-    tokens = firsts.select("key", "at", "n", F.posexplode("prefix").alias("pos", "token"))
-    earliest = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "key", "n", "pos")).alias("e")).filter("c > 1")
-    shared = cut(tokens.join(earliest.select("token"), "token"), "tokens")
-    mine = shared.select("key", "at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    some = texts.join(mine, "doc_id").select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("nos", i))).alias("line"))
-    sets = cut(some.select(key.alias("key"), F.array_distinct(shingles(F.col("line"), size)).alias("tokens")).dropDuplicates(["key"]), "sets")
-    earliest = shared.groupBy("token").agg(F.min(F.struct("at", "key", "n", "pos")).alias("e")).select("token", "e.*")
-    gone = cut(_verified(_match(shared, earliest, percent), sets, percent), "gone")
-    rest = shared.join(gone, "key", "left_anti")
-    more = _verified(_match(rest, shared, percent), sets, percent)
-    gone = cut(gone.union(more), "gone")
-
-    verdict = firsts.select("key", F.col("at").alias("first")).join(gone.withColumn("gone", F.lit(True)), "key", "left")
+    tokens = firsts.select(F.explode("prefix").alias("token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    shared = cut(firsts.select("at", "n", F.posexplode("prefix").alias("pos", "token")).join(several, "token"), "tokens")
+    mine = shared.select("at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
+    some = _lines(texts.join(mine, "doc_id"), "nos").filter(F.array_contains("nos", F.col("line_no")))
+    sets = some.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(shingles(F.col("line"), size)).alias("tokens"))
+    sets = cut(sets.groupBy("at").agg(F.max("tokens").alias("tokens")), "sets")
+    gone, rest = None, shared
+    for _ in range(PIVOTS):
+        pivot = rest.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
+        more = _verified(_match(rest, pivot, percent), sets, percent)
+        gone = cut(more if gone is None else gone.union(more), "gone")
+        rest = cut(shared.join(gone, "at", "left_anti"), "rest")
+    gone = cut(gone.union(_verified(_match(rest, shared, percent), sets, percent)).distinct(), "gone")
+
+    verdict = firsts.select("key", F.col("at").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left")
     places = lines.select(key.alias("key"), "doc_id", "line_no")
     removed = places.join(verdict, "key").filter(F.col("gone").isNotNull() | (F.col("first") != F.struct("doc_id", "line_no")))
     return cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
@@ -123,7 +142,7 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
 u AS (SELECT line, min((doc_id, i)) AS fst FROM l GROUP BY line),
-w AS (SELECT line, fst, list_filter(regexp_split_to_array(line, '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM u),
+w AS (SELECT line, fst, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM u),
 s AS (SELECT DISTINCT line, fst, array_to_string(w[k:k + 4], ' ') AS t FROM (SELECT line, fst, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
 n AS (SELECT line, count(*) AS n FROM s GROUP BY line),
 o AS (SELECT a.line, b.line AS other, count(*) AS o FROM s a JOIN s b ON a.t = b.t AND b.fst < a.fst GROUP BY ALL),
