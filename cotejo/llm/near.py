@@ -220,13 +220,14 @@ def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float =
     members = cut(bands.join(crowd, "band"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = cut(members.join(company, "node"), "members")
-    bodies = cut(texts.join(members.select("node").distinct(), texts.doc_id == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "bodies")
+    # by merge at every size: the texts would else move only where the ids are too many to broadcast
+    bodies = cut(texts.join(members.select("node").distinct().hint("merge"), texts.doc_id == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "bodies")
 
     pivot = members.groupBy("band").agg(F.max(F.struct("company", "node")).alias("top")).select("band", F.col("top.node").alias("a"))
     pairs = members.join(pivot, "band").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    with_sigs = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+    with_sigs = pairs.hint("merge").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
     alive = cut(with_sigs.select("a", "b", "sa", "sb").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "alive")
-    with_texts = alive.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    with_texts = alive.hint("merge").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     links = cut(with_texts.select("a", "b", "ta", "tb").mapInArrow(_exact(size, percent), "a long, b long"), "links")
     roots = components(links)
 
