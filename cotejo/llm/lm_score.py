@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ from . import spans as S
 from .common import crc_remainder, cut, documents, id_in, id_out
 
 BLOCK_BYTES = 24 << 20
+WORDS_A_TASK = 50_000
 DISCOUNT = 0.5
 MARK = "▁"
 _MODELS: dict = {}
@@ -150,35 +152,43 @@ class Lattice:
         return top + math.log(sum(math.exp(x - top) for x in terms[n])) + self.stop
 
 
-def _word_values(path: str | None, counts: dict[int, int], n_words: int, n: int, v: int):
-    schema = pa.schema([("word", pa.string()), ("known", pa.bool_()), ("base", pa.float64()), ("score", pa.float64()), ("lattice", pa.float64())])
+def _marginals(path: str | None, counts: dict[int, int], n_words: int):
+    schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("lattice", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
         for batch in batches:
             lattice = lattice or Lattice(path, counts, n_words)
-            words, cs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            marginals = [lattice.marginal(w) for w in words]
-            backoff = math.log(DISCOUNT * v / n) if n else 0.0
-            score = [math.log10(max(c - DISCOUNT, 0) / n + math.exp(m + backoff)) if c and n else (m + backoff) / math.log(10) for c, m in zip(cs, marginals, strict=True)]
-            base = [math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in cs]
-            yield S.batch_of(schema, words, [c > 0 for c in cs], base, score, [m / math.log(10) for m in marginals])
+            yield S.batch_of(schema, batch.column(0), batch.column(1), [lattice.marginal(w) for w in batch.column(0).to_pylist()])
 
     return run
 
 
-def _texts_of_block(end_known: bool, end_base: float, end_score: float):
+def word_scores(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base and model log10 chances of words with training counts c and log marginals."""
+    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    if not n:
+        return base, lattice / math.log(10)
+    backoff = lattice + math.log(DISCOUNT * v / n)
+    whole = np.log(np.maximum(c - DISCOUNT, 0) / n, where=c > 0, out=np.full(len(c), -np.inf))
+    return base, np.logaddexp(whole, backoff) / math.log(10)
+
+
+def _texts_of_block(n: int, v: int, ends: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
+    end_base = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
+    end_score = math.log10(ends / n) if ends else end_base
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        known, base, score, lattice = (words[c].to_pylist() for c in ("known", "base", "score", "lattice"))
-        values = {w.encode(): (k, b, s, m) for w, k, b, s, m in zip(words["word"].to_pylist(), known, base, score, lattice, strict=True)}
+        c, lattice = words["c"].to_numpy(), words["lattice"].to_numpy()
+        base, score = word_scores(c, lattice, n, v)
+        at = {w.encode(): k for k, w in enumerate(words["word"].to_pylist())}
         out = []
         for text in texts["text"]:
-            own = [values[w] for w in _tokens(text.as_py())]
-            out.append((len(own) + 1, sum(x[0] for x in own) + end_known, math.fsum(x[1] for x in own) + end_base, math.fsum(x[2] for x in own) + end_score, math.fsum(x[3] for x in own) + end_score))
+            own = np.fromiter((at[w] for w in _tokens(text.as_py())), dtype=np.int64)
+            out.append((len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), float(base[own].sum()) + end_base, float(score[own].sum()) + end_score, float(lattice[own].sum()) / math.log(10) + end_score))
         columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(c, type=schema.field(i + 2).type) for i, c in enumerate(columns))], schema=schema)
+        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(x, type=schema.field(i + 2).type) for i, x in enumerate(columns))], schema=schema)
 
     return run
 
@@ -196,15 +206,14 @@ def lm_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
     blocks = cut(texts.mapInArrow(_blocks, "block long, doc_id long, held_out boolean, text string"), "blocks")
     block_words = cut(blocks.mapInArrow(_block_words, "block long, word string, c long"), "block-words")
     words = cut(block_words.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    total, types, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
     ends = blocks.filter("not held_out").count()
     n, v = total + ends, types + (ends > 0)
     counts = {r.piece: r.n for r in words.filter("c > 0").select("word", "c").mapInArrow(_piece_counts(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    values = words.select("word", "c").mapInArrow(_word_values(path, counts, total, n, v), "word string, known boolean, base double, score double, lattice double")
+    # small rows, much work: more tasks than their bytes would make
+    values = words.select("word", "c").repartition(1 + distinct // WORDS_A_TASK).mapInArrow(_marginals(path, counts, total), "word string, c long, lattice double")
     with_values = block_words.select("block", "word").join(cut(values, "values"), "word")
-    end_base = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
-    end_score = math.log10(ends / n) if ends else end_base
-    scored = blocks.groupBy("block").cogroup(with_values.groupBy("block")).applyInArrow(_texts_of_block(ends > 0, end_base, end_score), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")
+    scored = blocks.groupBy("block").cogroup(with_values.groupBy("block")).applyInArrow(_texts_of_block(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")
     return scored.select(id_out(), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
 
 
