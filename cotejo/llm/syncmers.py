@@ -32,8 +32,8 @@ def _let(value: Column, body) -> Column:
 
 
 def anchors(hashes: Column, k: int = K, inner: int = INNER) -> Column:
-    """Array of (pos, hash): the closed syncmers of an array of word hashes. A text of fewer than k
-    words, but not none, has one anchor of all of them."""
+    """Array of (pos, hash): the closed syncmers of an array of word hashes. A text of few words,
+    but not none, that has no syncmer has one anchor of all of them."""
     w = k - inner + 1
 
     def of(h: Column) -> Column:
@@ -43,9 +43,13 @@ def anchors(hashes: Column, k: int = K, inner: int = INNER) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.least(F.get(m, i), F.get(m, i + w - 1)) <= F.least(*(F.get(m, i + j) for j in range(1, w))))
             return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(h, i + j) for j in range(k))).alias("hash")))
 
+        # of a few k-mers none may be chosen
         few = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
         none = F.expr("cast(array() as array<struct<pos: int, hash: bigint>>)")
-        return F.when(F.size(h) >= k, _let(inners, chosen)).when(F.size(h) > 0, few).otherwise(none)
+        def some(m: Column) -> Column:
+            return _let(chosen(m), lambda x: F.when(F.size(x) > 0, x).otherwise(few))
+
+        return F.when(F.size(h) >= k, _let(inners, some)).when(F.size(h) > 0, few).otherwise(none)
 
     return _let(hashes, of)
 
