@@ -58,7 +58,7 @@ def _round(state: DataFrame, k: int, shards: int, share: int) -> tuple[DataFrame
     return wish.select("uid", *GROUP, moved.alias("shard")), sum(demand.values())
 
 
-def propagate(docs: DataFrame, shards: int = 8, rounds: int = 5) -> DataFrame:
+def propagate(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for every row of docs. Shards differ by at most one
     row, and slots of a shard count from 0 without gaps; rows of equal texts share few shards.
 
