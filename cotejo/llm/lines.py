@@ -119,19 +119,19 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """All rows and columns of docs, and a struct `lines` with n_lines, removed and kept (the other
+    """All rows and columns of docs, and a struct `_lines` with n_lines, removed and kept (the other
     lines, joined by line feeds; null for a null text)."""
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     rows = docs.withColumn("_key", id_in()).join(gone, F.col("_key") == F.col("_id"), "left")
     rows = rows.withColumn("_parts", F.split(F.col("text").cast("string"), "\n")).withColumn("_removed", F.coalesce("_removed", F.expr("cast(array() as array<int>)")))
     kept = F.when(F.size("_removed") == 0, F.col("_parts")).otherwise(F.filter("_parts", lambda _, i: ~F.array_contains("_removed", i)))
     lines = F.struct(F.coalesce(F.array_size("_parts"), F.lit(0)).cast("long").alias("n_lines"), F.col("_removed").alias("removed"), F.array_join(kept, "\n").alias("kept"))
-    return rows.select(*docs.columns, lines.alias("lines"))
+    return rows.select(*docs.columns, lines.alias("_lines"))
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_lines, removed and kept for every row of docs; see removed_lines."""
-    return without_lines(docs.select("doc_id", "text"), removed_lines(docs, percent, size)).select("doc_id", "lines.*")
+    return without_lines(docs.select("doc_id", "text"), removed_lines(docs, percent, size)).select("doc_id", "_lines.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
