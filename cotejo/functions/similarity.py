@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """SIM3 and SIM4, by the tokens given: 0 if a side has none."""
@@ -21,7 +23,7 @@ def tokens_subset(a: Column, b: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Two-letter pieces, each numbered among its equals, so that set operations act on the bag."""
     pieces = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.transform(pieces, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pieces, F.lit(1), i), lambda y: y == x)).cast("string")))
+    return let(pieces, lambda p: F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, F.lit(1), i), lambda y: y == x)).cast("string"))))
 
 
 def bigram_dice(a: Column, b: Column) -> Column:
@@ -32,10 +34,21 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 def best_word_pair(a: Column, b: Column) -> Column:
     """SIM6: the mean over a's words of 3 and more of their best Dice among b's. Not symmetric."""
-    own, other = F.filter(a, lambda x: F.length(x) >= 3), F.filter(b, lambda x: F.length(x) >= 3)
-    best = F.transform(own, lambda x: F.coalesce(F.array_max(F.transform(other, lambda y: bigram_dice(x, y))), F.lit(0.0)))
-    total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (F.size(own) == 0), 0.0).otherwise(total / F.size(own))
+
+
+    def words(x: Column) -> Column:
+        """Words of 3 and more with their bigrams."""
+        return F.transform(F.filter(x, lambda w: F.length(w) >= 3), lambda w: F.struct(w.alias("w"), bigrams(w).alias("g")))
+
+    def dice(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["g"], y["g"]))
+        return F.when(x["w"] == y["w"], 1.0).otherwise(2.0 * both / (F.size(x["g"]) + F.size(y["g"])))
+
+    def mean(own: Column, other: Column) -> Column:
+        best = F.transform(own, lambda x: F.coalesce(F.array_max(F.transform(other, lambda y: dice(x, y))), F.lit(0.0)))
+        return F.when(F.size(own) == 0, 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(own))
+
+    return let(words(a), lambda own: let(words(b), lambda other: mean(own, other)))
 
 
 def dedup_combined(title: Column, author: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -60,6 +61,11 @@ def fold_table(dashes: bool = True) -> tuple[str, str]:
     return "".join(s for s, _ in kept) + "".join(marks), "".join(t for _, t in kept)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column, dashes: bool = True) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), *fold_table(dashes))
 
@@ -94,27 +100,41 @@ def strip_article(norm: Column, articles: tuple[str, ...] = ARTICLES) -> Column:
 
 def strip_subtitle(norm: Column) -> Column:
     """What stands before the first ':' or ' - ', unless that is nothing."""
-    at = F.least(F.nullif(F.instr(norm, ":"), F.lit(0)), F.nullif(F.instr(norm, " - "), F.lit(0)))
-    return F.when(at > 1, F.trim(F.substring(norm, F.lit(1), at - 1))).otherwise(norm)
+
+
+    def cut(n: Column) -> Column:
+        at = F.least(F.nullif(F.instr(n, ":"), F.lit(0)), F.nullif(F.instr(n, " - "), F.lit(0)))
+        return F.when(at > 1, F.trim(F.substring(n, F.lit(1), at - 1))).otherwise(n)
+
+    return let(norm, cut)
 
 
 def strip_subtitle_verify(norm: Column) -> Column:
     """What stands before the first separator, taken in the list's order."""
-    at = F.coalesce(*(F.when(F.instr(norm, sep) > 1, F.instr(norm, sep)) for sep in (":", " - ", " — ", ". ", " / ")))
-    return F.when(at.isNotNull(), F.trim(F.substring(norm, F.lit(1), at - 1))).otherwise(norm)
+
+
+    def cut(n: Column) -> Column:
+        at = F.coalesce(*(F.when(F.instr(n, sep) > 1, F.instr(n, sep)) for sep in (":", " - ", " — ", ". ", " / ")))
+        return F.when(at.isNotNull(), F.trim(F.substring(n, F.lit(1), at - 1))).otherwise(n)
+
+    return let(norm, cut)
 
 
 def title_variants(norm: Column) -> Column:
     """The form, without its article, without its subtitle, and without both."""
-    article = strip_article(norm)
-    return F.array_distinct(F.filter(F.array(norm, article, strip_subtitle(norm), strip_subtitle(article)), lambda x: x != ""))
+    pair = let(norm, lambda n: F.array(n, strip_article(n)))
+    four = let(pair, lambda p: F.concat(p, F.transform(p, strip_subtitle)))
+    return F.array_distinct(F.filter(four, lambda x: x != ""))
 
 
 def author_tokens(norm: Column) -> Column:
     """N8: 'last, first' turned round, initials dropped, first co-author only, tokens of 2 and more."""
-    parts = F.transform(F.split(norm, ","), lambda x: F.trim(x))
-    flipped = F.when(F.instr(norm, ",") > 0, F.trim(F.concat(F.get(parts, 1), F.lit(" "), F.get(parts, 0)))).otherwise(norm)
-    plain = F.trim(F.regexp_replace(F.regexp_replace(flipped, r"\b[a-z]\.", ""), " +", " "))
+
+    def flip(n: Column) -> Column:
+        turned = let(F.transform(F.split(n, ","), lambda x: F.trim(x)), lambda p: F.trim(F.concat(F.get(p, 1), F.lit(" "), F.get(p, 0))))
+        return F.when(F.instr(n, ",") > 0, turned).otherwise(n)
+
+    plain = F.trim(F.regexp_replace(F.regexp_replace(let(norm, flip), r"\b[a-z]\.", ""), " +", " "))
     first = F.trim(F.get(F.split(plain, " +& +| +and +| +y +"), 0))
     return F.filter(F.split(first, " "), lambda x: F.length(x) >= 2)
 
@@ -177,7 +197,7 @@ def search_tokens(norm: Column) -> Column:
 
 def jaccard_tokens(norm: Column) -> Column:
     """The same with number words as digits, then stems."""
-    return F.transform(search_tokens(norm), lambda x: stem(number_word(x)))
+    return F.transform(F.transform(search_tokens(norm), number_word), stem)
 
 
 def strong_tokens(norm: Column) -> Column:

@@ -7,6 +7,7 @@ that is grouped by submission.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,7 +102,8 @@ def _query(*names: str) -> Column:
 def ranked_groups(subs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Groups after the second retrieval, by author alone, for submissions whose best group has no
     likely author (JN5)."""
-    found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog))
+    # read by both passes; at most 15 rows for each source and submission
+    found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog)).persist(StorageLevel.MEMORY_AND_DISK)
     top = consensus(found).filter("rank = 1").select("sub_id", F.col("sim_a").alias("top_a"))
     weak = subs.join(top, "sub_id", "left").filter((F.coalesce("top_a", F.lit(0.0)) < FALLBACK_AUTHOR) & (F.length(F.trim(F.coalesce("autor", F.lit("")))) >= 4))
     more = retrieve(weak.select("sub_id", _query("autor")), catalog, base=1000)
@@ -122,13 +124,18 @@ def confirmations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
 def decide(subs: DataFrame, groups: DataFrame, answers: DataFrame, confirmed: DataFrame) -> DataFrame:
     """DC2 and DC3: one row for each submission: tipo, already_canonical, via, reason, the
     suggestion, its confidence, and up to 4 weak candidates or 2 samples."""
-    top = groups.filter("rank = 1").select("sub_id", *(F.col(c).alias(f"g_{c}") for c in ("titulo", "autor", "sources", "sim_t", "sim_a", "sim_c", "year")))
     label = F.struct("rank", F.concat_ws(" — ", "titulo", "autor").alias("label"))
-    weak_order = F.row_number().over(Window.partitionBy("sub_id").orderBy("rank"))
-    weak = groups.filter(F.col("sim_a") >= WEAK_AUTHOR).withColumn("k", weak_order).filter("k <= 4").groupBy("sub_id").agg(F.transform(F.array_sort(F.collect_list(label)), lambda x: x.label).alias("weak"))
-    sample = groups.filter("rank <= 2").groupBy("sub_id").agg(F.transform(F.array_sort(F.collect_list(label)), lambda x: x.label).alias("sample"))
+
+    def labels(test: Column, most: int) -> Column:
+        found = F.slice(F.array_sort(F.collect_list(F.when(test, label))), 1, most)
+        return F.when(F.size(found) > 0, F.transform(found, lambda x: x.label))
+
+    names = ("titulo", "autor", "sources", "sim_t", "sim_a", "sim_c", "year")
+    best = F.min_by(F.struct(*names), "rank").alias("g")
+    top = groups.groupBy("sub_id").agg(best, labels(F.col("sim_a") >= WEAK_AUTHOR, 4).alias("weak"), labels(F.col("rank") <= 2, 2).alias("sample"))
+    top = top.select("sub_id", "weak", "sample", *(F.col(f"g.{c}").alias(f"g_{c}") for c in names))
     a = answers.select("sub_id", F.lit(True).alias("answered"), "reconocido", F.col("titulo_canonico").alias("l_titulo"), F.col("autor_canonico").alias("l_autor"), F.col("year").alias("l_year"), "confianza")
-    rows = subs.join(top, "sub_id", "left").join(weak, "sub_id", "left").join(sample, "sub_id", "left").join(a, "sub_id", "left").join(confirmed, "sub_id", "left")
+    rows = subs.join(top, "sub_id", "left").join(a, "sub_id", "left").join(confirmed, "sub_id", "left")
     n = tx.normalize_verify
 
     def same(titulo: str, autor: str) -> Column:
