@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from . import spans as S
 from .common import crc_remainder, documents, id_in
 
-SAMPLE, FEATURES = 2000, 4096
+SAMPLE, FEATURES = 1200, 4096
 UNKNOWN = "und"
 #: Families of some languages by ISO 639-1 code. Others are a family of their own.
 FAMILIES = {
@@ -67,14 +67,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> np.ndarray:
     """Weights, the last for the constant, of a linear squared-hinge SVM; both classes (y -1, 1)
-    weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    weigh the same. x is in single precision and isn't copied."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 1 / (2 * np.einsum("ij,ij->i", x, x).max() + penalty)
-    w = ahead = np.zeros(x.shape[1])
+    rate = 1 / (2 * (np.einsum("ij,ij->i", x, x).max() + 1) + penalty)
+    w = ahead = np.zeros(x.shape[1] + 1)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * x.T @ (share * slack * y))
+        slack = np.maximum(0, 1 - y * (x @ ahead[:-1].astype(np.float32) + ahead[-1]))
+        pull = share * slack * y
+        slope = np.append(pull.astype(np.float32) @ x, pull.sum())
+        new = ahead - rate * (penalty * ahead - 2 * slope)
         w, ahead = new, new + k / (k + 3) * (new - w)
     return w
 
@@ -88,14 +89,15 @@ class Model:
             self.families.setdefault(family_of(lang), []).append(lang)
         own = np.array(langs, dtype=object)
         kin = np.array([family_of(v) for v in langs], dtype=object)
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(FEATURES)
+        scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(FEATURES)
+        x = x * scale
         self.machines: dict[tuple[str, str], np.ndarray] = {}
         pairs = [(kin, a, b) for a, b in combinations(sorted(self.families), 2)]
         pairs += [(own, a, b) for group in self.families.values() for a, b in combinations(group, 2)]
         self.level = [labels is kin for labels, _, _ in pairs]
         for labels, a, b in pairs:
             rows = np.flatnonzero((labels == a) | (labels == b))
-            w = fit_svm(x[rows] * scale, np.where(labels[rows] == a, 1.0, -1.0))
+            w = fit_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
             self.machines[len(self.machines), a, b] = np.append(w[:-1] * scale, w[-1])
 
     @staticmethod
@@ -139,13 +141,13 @@ def train(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> Model:
     known = docs.filter(F.col("text").isNotNull() & F.col(label).isNotNull()).select(id_in(), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 20).collect()}
     if not counts:
-        return Model([], np.zeros((0, FEATURES)))
+        return Model([], np.zeros((0, FEATURES), dtype=np.float32))
     part = rows // len(counts)
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 3 * part / n))))
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     sample = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= part).select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), dtype=np.float32).reshape(len(sample), FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), dtype=np.float32).reshape(len(sample), FEATURES)
     return Model(sample["lang"].to_pylist(), x)
 
 
