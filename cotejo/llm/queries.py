@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines
+from . import decontaminate, lines, oracles
 from .decontaminate import op5_decontaminate
 from .langid import op6_language_id
 from .lines import op8_line_dedup
@@ -35,4 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op9_near_dedup": oracles.NEAR_DEDUP,
+    "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
 }
