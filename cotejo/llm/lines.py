@@ -6,53 +6,140 @@ lines at Jaccard `percent` or more share a token among their first n - ceil(perc
 those prefixes meet in an equi-join with length and positional bounds, and the full sets decide.
 
 Equal lines count once, at their first place. A line goes if any earlier line matches, so not all
-pairs of a group are needed: first each prefix token proposes only its earliest line, and lines
-found so leave, twice; only the others then meet all earlier lines. Texts are shuffled twice by id (for
-the sets of lines with company, and for the result); all else is hashes.
+pairs of a group are needed: first each prefix token proposes only its earliest line, of which a line tries
+the one it shares most with, and lines found so leave, twice; only the others then meet all earlier lines.
+Texts are shuffled twice by id (for the sets of lines with company, and for the result); all else is
+hashes. Lines, shingles and prefixes are made by numpy inside the scans, as array functions took over
+twice the CPU budget for them (README.md); all joins and groups are Spark's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans as S
 from .common import cut, documents, id_in
-from .syncmers import _let
 
 PLACES = 1 << 16
+LOW48 = np.uint64((1 << 48) - 1)
 #: Rounds in which each token proposes one line, the earliest that is still left.
 PIVOTS = 2
-LOW48 = (1 << 48) - 1
-
-
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
-def shingles(line: Column, size: int) -> Column:
-    """Hashes of the runs of `size` words; none for shorter lines."""
-    none = F.expr("cast(array() as array<bigint>)")
-    return _let(words_of(line), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size))))).otherwise(none))
-
-
-def _lines(texts: DataFrame, *others: str) -> DataFrame:
-    return texts.select("doc_id", *others, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _rarity(lines: DataFrame, size: int) -> Column:
-    """A literal array: for each hash place its rank by count, from 0 to 32767."""
-    places = F.transform(shingles(F.col("line"), size), lambda x: x.bitwiseAND(F.lit(PLACES - 1)).cast("int"))
-    counts = lines.select(F.explode(places).alias("place")).groupBy("place").agg(F.count("*").alias("n")).toPandas()
+#: Words end at blanks and line feeds.
+_WORD = np.ones(256, dtype=bool)
+_WORD[[10, 32]] = False
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, start and end of each line, in order."""
+    feed = np.flatnonzero(data == 10)
+    row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feed, "right") - 1])
+    start = np.concatenate([offsets[:-1], feed + 1])
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    end = np.append(start[1:] - 1, 0)
+    last = np.append(row[1:] != row[:-1], True)
+    end[last] = offsets[1:][row[last]]
+    first = np.searchsorted(row, np.arange(len(offsets) - 1))
+    return row, np.arange(len(row)) - first[row], start, end
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line of each run of `size` words inside a line."""
+    begin, end, _ = S.words(data, offsets, _WORD)
+    sums = S.prefix_sums(S.run_hashes(S.prefix_sums(S.byte_values(41, False)[data]), begin, end))
+    at, line = S.windows(np.append(np.searchsorted(begin, starts), len(begin)), size)
+    return S.run_hashes(sums, at, at + size), line
+
+
+def _distinct(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by line and value, without doubles."""
+    order = np.lexsort((value, line))
+    line, value = line[order], value[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+    return line[new], value[new]
+
+
+def _counts(size: int):
+    """How many shingles each hash place has in a task."""
+    schema = pa.schema([("place", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            for _, data, offsets in S.text_parts(batch):
+                h, _ = _shingles(data, offsets, _lines(data, offsets)[2], size)
+                n += np.bincount((h & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        place = np.flatnonzero(n)
+        yield S.batch_of(schema, place.astype(np.int32), n[place])
+
+    return run
+
+
+def _prefixes(rank: np.ndarray, size: int, percent: int):
+    """A row for each line with shingles: two hashes of its text, its place, the number of distinct
+    shingles and the prefix of their order."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = S.ids_of(batch)
+            for rows, data, offsets in S.text_parts(batch):
+                row, number, start, end = _lines(data, offsets)
+                h, line = _shingles(data, offsets, start, size)
+                line, key = _distinct(line, rank[(h & np.uint64(PLACES - 1)).astype(np.int64)] << np.uint64(48) | h & LOW48)
+                n = np.bincount(line, minlength=len(row))
+                most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                first = np.cumsum(n) - n
+                prefix = key[np.arange(len(line)) - first[line] < most[line]]
+                own = np.flatnonzero(n)
+                edge = np.concatenate([[0], np.cumsum(most[own])]).astype(np.int32)
+                hashes = [S.signed(S.run_hashes(S.prefix_sums(S.byte_values(seed, False)[data]), start[own], end[own])) for seed in (43, 47)]
+                yield S.batch_of(schema, *hashes, ids[rows][row[own]], number[own].astype(np.int32), n[own].astype(np.int32), pa.ListArray.from_arrays(pa.array(edge), S.signed(prefix)))
+
+    return run
+
+
+def _sets(size: int):
+    """The distinct shingles of the lines that `nos` names."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nos = S.ids_of(batch), batch.column(batch.schema.get_field_index("nos"))
+            for rows, data, offsets in S.text_parts(batch):
+                row, number, start, _ = _lines(data, offsets)
+                asked = np.zeros(len(row), dtype=bool)
+                first = np.searchsorted(row, np.arange(len(offsets)))
+                for k in range(len(offsets) - 1):
+                    mine = np.asarray(nos[rows.start + k].values, dtype=np.int64)
+                    asked[first[k] + mine[mine < first[k + 1] - first[k]]] = True
+                h, line = _shingles(data, offsets, start, size)
+                line, h = _distinct(line[asked[line]], h[asked[line]])
+                own, n = np.unique(line, return_counts=True)
+                edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield S.batch_of(schema, ids[rows][row[own]], number[own].astype(np.int32), pa.ListArray.from_arrays(pa.array(edge), S.signed(h)))
+
+    return run
+
+
+def _rarity(texts: DataFrame, size: int) -> np.ndarray:
+    """For each hash place its rank by count, from 0 to 32767."""
+    counts = texts.select("text").mapInArrow(_counts(size), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(PLACES, dtype=np.int64)
-    n[counts["place"]] = counts["n"]
-    rank = np.empty(PLACES, dtype=np.int64)
-    rank[np.argsort(n, kind="stable")] = np.arange(PLACES) // 2
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+    n[counts["place"].to_numpy(dtype=np.int64)] = counts["n"]
+    rank = np.empty(PLACES, dtype=np.uint64)
+    rank[np.argsort(n, kind="stable")] = np.arange(PLACES, dtype=np.uint64) // np.uint64(2)
+    return rank
 
 
 def _match(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (at, other) of lines, other earlier, that can be as near as percent: lengths, places
+    """Pairs (at, other) of lines, other earlier, with their shared prefix tokens c, that can be as near as percent: lengths, places
     of a shared prefix token, and then the number of shared prefix tokens. All that two lines share
     up to the end of one's prefix is in both prefixes, so the rest of that line bounds what else
     they share."""
@@ -63,7 +150,7 @@ def _match(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     pairs = rows.join(b, "token").filter((F.col("other") < F.col("at")) & within & ((100 + percent) * most >= percent * (n + m)))
     rest = F.greatest(n - _prefix_size(n, percent), m - _prefix_size(m, percent))
     shared = pairs.groupBy("at", "other", "n", "m").agg(F.count("*").alias("c"))
-    return shared.filter((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("at", "other")
+    return shared.filter((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("at", "other", "c")
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
@@ -87,34 +174,27 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     document, whose removed lines go from each. Other columns are ignored; an empty table gives an
     empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    lines = _lines(texts)
-    rarity = _rarity(lines, size)
-    order = F.transform(shingles(F.col("line"), size), lambda x: F.shiftleft(F.get(rarity, x.bitwiseAND(F.lit(PLACES - 1)).cast("int")), 48).bitwiseOR(x.bitwiseAND(F.lit(LOW48))))
-    n = F.size("tokens")
-    key = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    keyed = lines.select(key.alias("key"), F.struct("doc_id", "line_no").alias("at"), F.sort_array(F.array_distinct(order)).alias("tokens")).filter(n > 0)
-    prefix = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
-    firsts = keyed.select("key", "at", n.alias("n"), prefix.alias("prefix")).groupBy("key").agg(F.min("at").alias("at"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    firsts = cut(firsts, "lines")
+    keyed = texts.mapInArrow(_prefixes(_rarity(texts, size), size, percent), "h long, g long, doc_id long, line_no int, n int, prefix array<long>")
+    at = F.struct("doc_id", "line_no")
+    firsts = cut(keyed.groupBy("h", "g").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "lines")
 
     tokens = firsts.select(F.explode("prefix").alias("token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(firsts.select("at", "n", F.posexplode("prefix").alias("pos", "token")).join(several, "token"), "tokens")
     mine = shared.select("at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    some = _lines(texts.join(mine, "doc_id"), "nos").filter(F.array_contains("nos", F.col("line_no")))
-    sets = some.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(shingles(F.col("line"), size)).alias("tokens"))
-    sets = cut(sets.groupBy("at").agg(F.max("tokens").alias("tokens")), "sets")
+    sets = texts.join(mine, "doc_id").mapInArrow(_sets(size), "doc_id long, line_no int, tokens array<long>")
+    sets = cut(sets.groupBy(at.alias("at")).agg(F.max("tokens").alias("tokens")), "sets")
     gone, rest = None, shared
     for _ in range(PIVOTS):
         pivot = rest.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
-        more = _verified(_match(rest, pivot, percent), sets, percent)
+        best = _match(rest, pivot, percent).groupBy("at").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+        more = _verified(best, sets, percent)
         gone = cut(more if gone is None else gone.union(more), "gone")
         rest = cut(shared.join(gone, "at", "left_anti"), "rest")
-    gone = cut(gone.union(_verified(_match(rest, shared, percent), sets, percent)).distinct(), "gone")
+    gone = cut(gone.union(_verified(_match(rest, shared, percent).select("at", "other"), sets, percent)).distinct(), "gone")
 
-    verdict = firsts.select("key", F.col("at").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    places = lines.select(key.alias("key"), "doc_id", "line_no")
-    removed = places.join(verdict, "key").filter(F.col("gone").isNotNull() | (F.col("first") != F.struct("doc_id", "line_no")))
+    verdict = firsts.select("h", "g", F.col("at").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left")
+    removed = keyed.select("h", "g", "doc_id", "line_no").join(verdict, ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != at))
     return cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
 
