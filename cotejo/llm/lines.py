@@ -10,7 +10,8 @@ pairs of a group are needed: first each prefix token proposes only its earliest
 the one it shares most with, and lines found so leave, twice; only the others then meet all earlier lines.
 Texts are shuffled twice by id (for the sets of lines with company, and for the result); all else is
 hashes. Lines, shingles and prefixes are made by numpy inside the scans, as array functions took over
-twice the CPU budget for them (README.md); all joins and groups are Spark's.
+twice the CPU budget for them (README.md); all joins and groups are Spark's, the large ones by merge
+at every size.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def _prefix_size(n: Column, percent: int) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The lines `at` of pairs whose sets are as near as percent."""
     a, b = sets.select("at", F.col("tokens").alias("x")), sets.select(F.col("at").alias("other"), F.col("tokens").alias("y"))
-    both = pairs.join(a, "at").join(b, "other").select("at", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
+    both = pairs.hint("merge").join(a, "at").join(b.hint("merge"), "other").select("at", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
@@ -182,7 +183,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(firsts.select("at", "n", F.posexplode("prefix").alias("pos", "token")).join(several, "token"), "tokens")
     mine = shared.select("at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    sets = texts.join(mine, "doc_id").mapInArrow(_sets(size), "doc_id long, line_no int, tokens array<long>")
+    sets = texts.join(mine.hint("merge"), "doc_id").mapInArrow(_sets(size), "doc_id long, line_no int, tokens array<long>")
     sets = cut(sets.groupBy(at.alias("at")).agg(F.max("tokens").alias("tokens")), "sets")
     gone, rest = None, shared
     for _ in range(PIVOTS):
@@ -190,11 +191,11 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
         best = _match(rest, pivot, percent).groupBy("at").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
         more = _verified(best, sets, percent)
         gone = cut(more if gone is None else gone.union(more), "gone")
-        rest = cut(shared.join(gone, "at", "left_anti"), "rest")
+        rest = cut(shared.join(gone.hint("merge"), "at", "left_anti"), "rest")
     gone = cut(gone.union(_verified(_match(rest, shared, percent).select("at", "other"), sets, percent)).distinct(), "gone")
 
     verdict = firsts.select("h", "g", F.col("at").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    removed = keyed.select("h", "g", "doc_id", "line_no").join(verdict, ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != at))
+    removed = keyed.select("h", "g", "doc_id", "line_no").join(verdict.hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != at))
     return cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
 
@@ -202,7 +203,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """All rows and columns of docs, and a struct `_lines` with n_lines, removed and kept (the other
     lines, joined by line feeds; null for a null text)."""
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_key", id_in()).join(gone, F.col("_key") == F.col("_id"), "left")
+    rows = docs.withColumn("_key", id_in()).join(gone.hint("merge"), F.col("_key") == F.col("_id"), "left")
     rows = rows.withColumn("_parts", F.split(F.col("text").cast("string"), "\n")).withColumn("_removed", F.coalesce("_removed", F.expr("cast(array() as array<int>)")))
     kept = F.when(F.size("_removed") == 0, F.col("_parts")).otherwise(F.filter("_parts", lambda _, i: ~F.array_contains("_removed", i)))
     lines = F.struct(F.coalesce(F.array_size("_parts"), F.lit(0)).cast("long").alias("n_lines"), F.col("_removed").alias("removed"), F.array_join(kept, "\n").alias("kept"))
