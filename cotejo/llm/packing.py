@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,19 +27,21 @@ from .common import cut, documents, id_in, id_out
 #: Open bins of a packer, and the pieces that one group holds on average.
 OPEN_BINS, GROUP = 16_384, 30_000
 END = 2
+END_OF_TEXT = {"<|endoftext|>": 50256}
 _ENCODERS: dict = {}
 
 
 def encoder(path: str | None = None):
     """The byte-level BPE of a rank file; by default the public one of 50,257 ids. Its ids equal
-    those of the tokenizers file of the same vocabulary, with special strings as ordinary text."""
+    those of the tokenizers file of the same vocabulary, which finds its added token END_OF_TEXT inside
+    texts too; other rank files have none."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if path else END_OF_TEXT)
     return _ENCODERS[path]
 
 
@@ -47,7 +50,7 @@ def _pieces(capacity: int, path: str | None, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         for batch in batches:
             docs, texts = S.ids_of(batch), batch.column(batch.schema.get_field_index("text"))
             rows: list[tuple] = []

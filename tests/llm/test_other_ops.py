@@ -221,3 +221,14 @@ def test_pipeline_edges(spark, docs, nothing, sf_dir):
 
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 11))
+
+
+def test_packing_finds_the_added_token_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y<|endoftext|", "<|END|> <|endoftext |>"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: [*tok.encode(t, add_special_tokens=False).ids, packing.END] for k, t in enumerate(texts)}
+    assert any(50256 in r.ids for r in got)
