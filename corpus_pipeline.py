@@ -40,9 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies, and one row of rows that
-    repeat it."""
-    kept = _only(docs, near.near_dedup(docs).filter("kept"), "left_semi")
+    """Keeps the document with the least id of each group of near copies (word shingles at 0.8), and
+    one row of rows that repeat it."""
+    kept = _only(docs, near.near_dedup(docs, percent=80).filter("kept"), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

@@ -1,7 +1,8 @@
 """Operator 9, MinHash near-dedup with sequential Bayesian verification.
 
 Texts of equal word sequences are one node, the least doc_id. 128 MinHash values of a node's
-5-word shingles make 25 bands of 5; a pair at similarity 0.85 shares none with probability 4e-7.
+5-word shingles make bands whose width follows the threshold: 25 of 5 at 0.85, 32 of 4 at 0.8, so
+that a pair at the threshold shares none with probability 1e-6 at most (4e-7 and 5e-8).
 Not all pairs of a bucket are made. First the member with most company is compared with the
 others, which links a group of copies in one step. Buckets whose members are then in different
 components join up to clusters, and there each node outside the cluster's largest component (a
@@ -29,7 +30,7 @@ from . import spans as S
 from .common import cut, documents, id_in, id_out
 from .components import components
 
-VALUES, BANDS, ROWS, BATCH = 128, 25, 5, 16
+VALUES, BATCH, MISSED = 128, 16, 1e-6
 #: Queries of one block, and groups that small clusters are dealt to.
 QUERIES, SMALL_GROUPS = 256, 1 << 12
 _A = S.mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -80,19 +81,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), VALUES)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("band", pa.int64()), ("node", pa.int64())])
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            part = batch.slice(k, 2000)
-            values, nodes = _matrix(part.column(1)).astype(np.uint64), part.column(0).to_numpy()
-            out = []
-            for band in range(BANDS):
-                h = np.full(len(nodes), band + 1, dtype=np.uint64)
-                for j in range(band * ROWS, band * ROWS + ROWS):
-                    h = S.mix(h * np.uint64(31) + values[:, j])
-                out.append(h)
-            yield S.batch_of(schema, S.signed(np.concatenate(out)), np.tile(nodes, BANDS))
+def width(percent: int) -> int:
+    """The most values a band can have so that a pair at the threshold shares a band, but for MISSED."""
+    return max((r for r in range(1, VALUES + 1) if (1 - (percent / 100) ** r) ** (VALUES // r) <= MISSED), default=1)
+
+
+def _bands(width: int):
+    schema, count = pa.schema([("band", pa.int64()), ("node", pa.int64())]), VALUES // width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                values, nodes = _matrix(part.column(1)).astype(np.uint64), part.column(0).to_numpy()
+                out = []
+                for band in range(count):
+                    h = np.full(len(nodes), band + 1, dtype=np.uint64)
+                    for j in range(band * width, band * width + width):
+                        h = S.mix(h * np.uint64(31) + values[:, j])
+                    out.append(h)
+                yield S.batch_of(schema, S.signed(np.concatenate(out)), np.tile(nodes, count))
+
+    return run
 
 
 def least_matches(threshold: float, miss: float) -> dict[int, int]:
@@ -215,7 +225,7 @@ def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float =
     base = cut(texts.mapInArrow(_sketch(size), "doc_id long, n_shingles long, key binary, sig binary"), "sketches")
     nodes = cut(base.filter("sig is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "nodes")
     sigs = nodes.groupBy("node").agg(F.max("sig").alias("sig"))
-    bands = sigs.mapInArrow(_bands, "band long, node long")
+    bands = sigs.mapInArrow(_bands(width(percent)), "band long, node long")
     crowd = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(bands.join(crowd, "band"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))

@@ -223,6 +223,24 @@ def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 11))
 
 
+def test_pipeline_near_dedup_at_80(spark):
+    """Copies of bases at similarities around 0.8 and 0.85."""
+    from .test_dedup_ops import groups, shingle_sets
+
+    rng, rows = random.Random(8), []
+    for b in range(40):
+        base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        rows.append((2 * b, " ".join(base)))
+        for k in rng.sample(range(2, 198), 1 + b % 6):
+            base[k] += "x"
+        rows.append((2 * b + 1, " ".join(base)))
+    sets = shingle_sets(rows)
+    root = groups(sets, 80)
+    assert root != groups(sets)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == {i for i in root if root[i] == i}
+
+
 def test_packing_finds_the_added_token_in_texts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
