@@ -33,8 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that an earlier line nearly equals, and drops documents with nothing left."""
-    found = lines.without_lines(docs, lines.removed_lines(docs))
+    """Takes lines out that an earlier line nearly equals, short ones too, and drops documents with
+    nothing left."""
+    found = lines.without_lines(docs, lines.removed_lines(docs, short=True))
     left = (F.size("_lines.removed") == 0) | F.col("_lines.kept").rlike(r"\S")
     return _with_text(found.filter(left), F.col("_lines.kept")).select(*docs.columns)
 

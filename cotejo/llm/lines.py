@@ -49,12 +49,20 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.arange(len(row)) - first[row], start, end
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of each run of `size` words inside a line."""
-    begin, end, _ = S.words(data, offsets, _WORD)
+def _shingles(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line of each run of `size` words inside a line, and with short one of all words of a
+    line of fewer."""
+    begin, end, _ = S.words(data, offsets, S.SPACE if short else _WORD)
     sums = S.prefix_sums(S.run_hashes(S.prefix_sums(S.byte_values(41, False)[data]), begin, end))
-    at, line = S.windows(np.append(np.searchsorted(begin, starts), len(begin)), size)
-    return S.run_hashes(sums, at, at + size), line
+    first = np.append(np.searchsorted(begin, starts), len(begin))
+    at, line = S.windows(first, size)
+    hashes = S.run_hashes(sums, at, at + size)
+    if short:
+        n = np.diff(first)
+        few = np.flatnonzero((n > 0) & (n < size))
+        hashes = np.concatenate([hashes, S.run_hashes(sums, first[few], first[few + 1]) + n[few].astype(np.uint64)])
+        line = np.concatenate([line, few])
+    return hashes, line
 
 
 def _distinct(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def _distinct(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return line[new], value[new]
 
 
-def _counts(size: int):
+def _counts(size: int, short: bool):
     """How many shingles each hash place has in a task."""
     schema = pa.schema([("place", pa.int32()), ("n", pa.int64())])
 
@@ -74,7 +82,7 @@ def _counts(size: int):
         n = np.zeros(PLACES, dtype=np.int64)
         for batch in batches:
             for _, data, offsets in S.text_parts(batch):
-                h, _ = _shingles(data, offsets, _lines(data, offsets)[2], size)
+                h, _ = _shingles(data, offsets, _lines(data, offsets)[2], size, short)
                 n += np.bincount((h & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
         place = np.flatnonzero(n)
         yield S.batch_of(schema, place.astype(np.int32), n[place])
@@ -82,7 +90,7 @@ def _counts(size: int):
     return run
 
 
-def _prefixes(rank: np.ndarray, size: int, percent: int):
+def _prefixes(rank: np.ndarray, size: int, percent: int, short: bool):
     """A row for each line with shingles: two hashes of its text, its place, the number of distinct
     shingles and the prefix of their order."""
     schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
@@ -92,7 +100,7 @@ def _prefixes(rank: np.ndarray, size: int, percent: int):
             ids = S.ids_of(batch)
             for rows, data, offsets in S.text_parts(batch):
                 row, number, start, end = _lines(data, offsets)
-                h, line = _shingles(data, offsets, start, size)
+                h, line = _shingles(data, offsets, start, size, short)
                 line, key = _distinct(line, rank[(h & np.uint64(PLACES - 1)).astype(np.int64)] << np.uint64(48) | h & LOW48)
                 n = np.bincount(line, minlength=len(row))
                 most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
@@ -106,7 +114,7 @@ def _prefixes(rank: np.ndarray, size: int, percent: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, short: bool):
     """The distinct shingles of the lines that `nos` names."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
@@ -120,7 +128,7 @@ def _sets(size: int):
                 for k in range(len(offsets) - 1):
                     mine = np.asarray(nos[rows.start + k].values, dtype=np.int64)
                     asked[first[k] + mine[mine < first[k + 1] - first[k]]] = True
-                h, line = _shingles(data, offsets, start, size)
+                h, line = _shingles(data, offsets, start, size, short)
                 line, h = _distinct(line[asked[line]], h[asked[line]])
                 own, n = np.unique(line, return_counts=True)
                 edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -129,9 +137,9 @@ def _sets(size: int):
     return run
 
 
-def _rarity(texts: DataFrame, size: int) -> np.ndarray:
+def _rarity(texts: DataFrame, size: int, short: bool) -> np.ndarray:
     """For each hash place its rank by count, from 0 to 32767."""
-    counts = texts.select("text").mapInArrow(_counts(size), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.select("text").mapInArrow(_counts(size, short), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(PLACES, dtype=np.int64)
     n[counts["place"].to_numpy(dtype=np.int64)] = counts["n"]
     rank = np.empty(PLACES, dtype=np.uint64)
@@ -165,17 +173,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool = False) -> DataFrame:
     """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
     the ids with such lines.
 
     Lines end at line feeds, words at blanks; order is by doc_id, then by place. A line of fewer words than `size`
-    stays always. Matches are judged on the input, not on what is left. A null text has no lines,
+    stays, or with `short` has one shingle of all its words, so that it goes if an earlier line has the same words
+    (a blank line stays); words end at \\x09-\\x0D too then. Matches are judged on the input, not on what is left. A null text has no lines,
     an empty one has one. A null doc_id sorts before all others; rows that repeat a doc_id are one
     document, whose removed lines go from each. Other columns are ignored; an empty table gives an
     empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    keyed = texts.mapInArrow(_prefixes(_rarity(texts, size), size, percent), "h long, g long, doc_id long, line_no int, n int, prefix array<long>")
+    keyed = texts.mapInArrow(_prefixes(_rarity(texts, size, short), size, percent, short), "h long, g long, doc_id long, line_no int, n int, prefix array<long>")
     at = F.struct("doc_id", "line_no")
     firsts = cut(keyed.groupBy("h", "g").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "lines")
 
@@ -183,7 +192,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(firsts.select("at", "n", F.posexplode("prefix").alias("pos", "token")).join(several, "token"), "tokens")
     mine = shared.select("at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    sets = texts.join(mine.hint("merge"), "doc_id").mapInArrow(_sets(size), "doc_id long, line_no int, tokens array<long>")
+    sets = texts.join(mine.hint("merge"), "doc_id").mapInArrow(_sets(size, short), "doc_id long, line_no int, tokens array<long>")
     sets = cut(sets.groupBy(at.alias("at")).agg(F.max("tokens").alias("tokens")), "sets")
     gone, rest = None, shared
     for _ in range(PIVOTS):

@@ -213,3 +213,22 @@ def test_word_spans_never_cross_rows():
     start, end, first = spans.words(data, offsets, spans.SPACE)
     assert [bytes(data[a:b]) for a, b in zip(start, end, strict=True)] == [b"ab", b"cd", b"ef", b"g"]
     assert first.tolist() == [0, 2, 2, 3, 3, 4]
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(12)
+    some = ["All rights reserved.", "one", "a\tb\tc\td\te\tf g", "a b c d e f g", "保留所有权利。", "  one ", "two one", "", " \t", "one two three four", "one two three four five\r"]
+    texts = {i: "\n".join(rng.choice(some) + ("x" if rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 9))) for i in range(60)}
+    seen: list[set] = []
+    gone = defaultdict(list)
+    for i, t in sorted(texts.items()):
+        for k, line in enumerate(t.split("\n")):
+            w = line.encode().split()
+            x = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+            if x and any(5 * len(x & y) >= 4 * len(x | y) for y in seen):
+                gone[i].append(k)
+            elif x:
+                seen.append(x)
+    got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), short=True).collect()
+    assert {r.doc_id: r.removed for r in got} == gone
+    assert len({texts[i].split("\n")[k] for i in gone for k in gone[i]}) > 8

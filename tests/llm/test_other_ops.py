@@ -241,6 +241,12 @@ def test_pipeline_near_dedup_at_80(spark):
     assert {r.doc_id for r in got} == {i for i in root if root[i] == i}
 
 
+def test_pipeline_line_dedup_takes_short_lines(spark):
+    docs = spark.createDataFrame([(1, "first\nAll rights reserved.", 0), (2, "second\nAll rights reserved.", 0), (3, "first", 0)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: "first\nAll rights reserved.", 2: "second"}
+
+
 def test_packing_finds_the_added_token_in_texts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
