@@ -3,14 +3,16 @@
 Features are hashed byte trigrams of the text with A-Z lowered and every other ASCII byte as a
 blank, as shares of all trigrams. The machines (families against each other, and the languages of
 one family against each other) are squared-hinge linear SVMs, fitted by accelerated gradient steps
-on a bounded sample of labelled rows: SAMPLE rows in equal parts by language, chosen by a hash of
-their id. Prediction is one pass over the whole texts without a shuffle.
+on a bounded sample of labelled rows: at most SAMPLE of each language, chosen by a hash of id and
+text. Every label counts; a pair's machine is fitted in a task, which has the rows of its two
+classes only, and the driver holds the machines. Prediction is one pass over the whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import spans as S
-from .common import crc_remainder, documents, id_in
+from .common import crc_remainder, cut, documents, id_in
 
-SAMPLE, FEATURES = 1200, 4096
+SAMPLE, FEATURES = 300, 4096
 UNKNOWN = "und"
 #: Families of some languages by ISO 639-1 code. Others are a family of their own.
 FAMILIES = {
@@ -56,13 +58,46 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
+    """The features that a row has, and their shares."""
+    schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
     for batch in batches:
         langs = batch.column(batch.schema.get_field_index("lang"))
         for rows, data, offsets in S.text_parts(batch):
             grams, edge = _grams(data, offsets)
-            shares = [np.bincount(grams[a:b], minlength=FEATURES) / max(1, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield S.batch_of(schema, langs.slice(rows.start, rows.stop - rows.start), [x.astype(np.float32).tobytes() for x in shares])
+            own = [np.unique(grams[a:b], return_counts=True) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            shares = [(n / max(1, n.sum())).astype(np.float32).tobytes() for _, n in own]
+            yield S.batch_of(schema, langs.slice(rows.start, rows.stop - rows.start), [at.astype(np.uint16).tobytes() for at, _ in own], shares)
+
+
+def _matrix(at: pa.ChunkedArray, shares: pa.ChunkedArray) -> np.ndarray:
+    x = np.zeros((len(at), FEATURES), dtype=np.float32)
+    for k, (own, values) in enumerate(zip(at.to_pylist(), shares.to_pylist(), strict=True)):
+        x[k, np.frombuffer(own, dtype=np.uint16)] = np.frombuffer(values, dtype=np.float32)
+    return x
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, np.zeros(FEATURES)
+    for batch in batches:
+        for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(x, dtype=np.float32)
+        n += batch.num_rows
+    if n:
+        yield S.batch_of(pa.schema([("n", pa.int64()), ("total", pa.binary())]), [n], [total.tobytes()])
+
+
+def _fit(scale: np.ndarray):
+    """The machine of the pair that a group has the rows of; `first` says that a row is of its first class."""
+    schema = pa.schema([("pair", pa.int32()), ("w", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lang", "ascending"), ("at", "ascending"), ("x", "ascending")])
+        x = _matrix(table["at"], table["x"])
+        x *= scale
+        w = fit_svm(x, np.where(table["first"].to_numpy(), 1.0, -1.0))
+        return pa.table([table["pair"][:1], [np.append(w[:-1] * scale, w[-1]).astype(np.float32).tobytes()]], schema=schema)
+
+    return run
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> np.ndarray:
@@ -80,25 +115,27 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-
     return w
 
 
+class Pair(NamedTuple):
+    family: bool
+    a: str
+    b: str
+
+
 class Model:
     """Machines by pair: of families, and of the languages inside each family."""
 
-    def __init__(self, langs: list[str], x: np.ndarray):
+    def __init__(self, langs: list[str]):
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(family_of(lang), []).append(lang)
-        own = np.array(langs, dtype=object)
-        kin = np.array([family_of(v) for v in langs], dtype=object)
-        scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(FEATURES)
-        x = x * scale
-        self.machines: dict[tuple[str, str], np.ndarray] = {}
-        pairs = [(kin, a, b) for a, b in combinations(sorted(self.families), 2)]
-        pairs += [(own, a, b) for group in self.families.values() for a, b in combinations(group, 2)]
-        self.level = [labels is kin for labels, _, _ in pairs]
-        for labels, a, b in pairs:
-            rows = np.flatnonzero((labels == a) | (labels == b))
-            w = fit_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
-            self.machines[len(self.machines), a, b] = np.append(w[:-1] * scale, w[-1])
+        self.pairs = [Pair(True, a, b) for a, b in combinations(sorted(self.families), 2)]
+        self.pairs += [Pair(False, a, b) for group in self.families.values() for a, b in combinations(group, 2)]
+        self.machines: list[np.ndarray] = []
+
+    def dealt(self) -> list[tuple[str, int, bool]]:
+        """The languages of each pair's two classes: language, pair, and whether it is of the first."""
+        sides = [(k, p.family, c, c == p.a) for k, p in enumerate(self.pairs) for c in (p.a, p.b)]
+        return [(lang, k, first) for k, family, c, first in sides for lang in (self.families[c] if family else [c])]
 
     @staticmethod
     def _winner(classes: list[str], margins: dict[tuple[str, str], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +157,15 @@ class Model:
         grams, edge = _grams(data, offsets)
         n, size = len(edge) - 1, np.maximum(1, np.diff(edge))
         margins = []
-        for w in self.machines.values():
-            sums = np.concatenate([[0.0], np.cumsum(w[grams])])
+        for w in self.machines:
+            sums = np.concatenate([[0.0], np.cumsum(w[grams], dtype=np.float64)])
             margins.append((sums[edge[1:]] - sums[edge[:-1]]) / size + w[-1])
-        names = [(a, b) for _, a, b in self.machines]
         kin = sorted(self.families)
-        best, score = self._winner(kin, {p: m for p, m, f in zip(names, margins, self.level, strict=True) if f}, n)
+        best, score = self._winner(kin, {(p.a, p.b): m for p, m in zip(self.pairs, margins, strict=True) if p.family}, n)
         pick = np.empty(n, dtype=object)
         for i, family in enumerate(kin):
             group = self.families[family]
-            own, chance = self._winner(group, {p: m for p, m, f in zip(names, margins, self.level, strict=True) if not f and p[0] in group}, n)
+            own, chance = self._winner(group, {(p.a, p.b): m for p, m in zip(self.pairs, margins, strict=True) if not p.family and p.a in group}, n)
             mine = best == i
             pick[mine] = np.array(group, dtype=object)[own[mine]]
             score = np.where(mine, score * chance, score)
@@ -137,18 +173,23 @@ class Model:
 
 
 def train(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> Model:
-    """Fit on at most `rows` rows of docs that have a text and a label, in equal parts by label."""
+    """Fit on rows of docs that have a text and a label, at most `rows` of each label."""
     known = docs.filter(F.col("text").isNotNull() & F.col(label).isNotNull()).select(id_in(), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 20).collect()}
-    if not counts:
-        return Model([], np.zeros((0, FEATURES), dtype=np.float32))
-    part = rows // len(counts)
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 3 * part / n))))
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= part).select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), dtype=np.float32).reshape(len(sample), FEATURES)
-    return Model(sample["lang"].to_pylist(), x)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.xxhash64("doc_id", "text")
+    some = known.join(F.broadcast(counts), "lang").filter(F.pmod(place, F.lit(1_000_003)) < 3.0 * rows / F.col("n") * 1_000_003)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    sample = cut(some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("lang", "text").mapInArrow(_features, "lang string, at binary, x binary"), "sample")
+    model = Model([r.lang for r in sample.select("lang").distinct().collect()])
+    if not model.pairs:
+        return model
+    sums = sample.select("at", "x").mapInArrow(_sums, "n long, total binary").collect()
+    mean = sum(np.frombuffer(r.total) for r in sums) / sum(r.n for r in sums)
+    scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
+    dealt = docs.sparkSession.createDataFrame(model.dealt(), "lang string, pair int, first boolean")
+    fitted = sample.join(F.broadcast(dealt), "lang").groupBy("pair").applyInArrow(_fit(scale), "pair int, w binary").collect()
+    model.machines = [np.frombuffer(r.w, dtype=np.float32) for r in sorted(fitted, key=lambda r: r.pair)]
+    return model
 
 
 def _predict(model: Model):

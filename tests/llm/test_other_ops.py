@@ -256,3 +256,13 @@ def test_packing_finds_the_added_token_in_texts(spark):
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
     assert {r.doc_id: r.ids for r in got} == {k: [*tok.encode(t, add_special_tokens=False).ids, packing.END] for k, t in enumerate(texts)}
     assert any(50256 in r.ids for r in got)
+
+
+def test_language_id_learns_every_label(spark):
+    rng, rows = random.Random(5), []
+    for k in range(64):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)]
+        rows += [(None if j else k, " ".join(rng.choice(own) for _ in range(40)), f"x{k}") for j in range(4 if k % 2 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.label(docs, langid.train(docs)).collect()
+    assert len(got) == len(rows) and all(r._lang == r.lang for r in got)
