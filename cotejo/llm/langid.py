@@ -192,7 +192,7 @@ def train(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> Model:
     return model
 
 
-def _predict(model: Model):
+def _predict(model: Model, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = np.zeros(256, dtype=np.int64)
         letter[65:91] = letter[97:123] = 1
@@ -208,24 +208,25 @@ def _predict(model: Model):
                         langs[k], score[k] = UNKNOWN, 0.0
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 columns = [*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "_lang", "_score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
     return run
 
 
-def label(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs, with _lang and _score (0 to 1). Null texts and texts without a
+def label(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All rows and columns of docs, with a language and a score (0 to 1) under names that docs
+    doesn't have. Null texts and texts without a
     letter are `und` with score 0, and so is all else if the model learned no language. Ties go
     to the name that sorts first. Nulls in other columns don't matter, a null doc_id is kept, rows
     that repeat are predicted each, and an empty table gives an empty result."""
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
-    return docs.mapInArrow(_predict(model), schema)
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(_predict(model, (lang, score)), schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs; see label."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return label(texts, model).select("doc_id", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return label(texts, model).select("doc_id", "lang_pred", "score")
 
 
 def held_out() -> Column:

@@ -1,171 +1,132 @@
 """Operator 8, line dedup: remove lines whose shingles are nearly those of an earlier line.
 
 Method: an exact set-similarity join. A line's tokens are its distinct 5-word shingles, ordered by
-rarity (a count of all shingles in 65,536 hash buckets, a table of fixed size; ties by hash). Two
-lines at Jaccard `percent` or more share a token among their first n - ceil(percent * n) + 1;
-those prefixes meet in an equi-join with length and positional bounds, and the full sets decide.
+rarity: first the rarity of the shingle's first word (a count of all words in 65,536 hash places, a
+table of fixed size), then that word's hash, then the shingle's. Two lines at Jaccard `percent` or
+more share a token among their first n - ceil(percent * n) + 1; those prefixes meet in an equi-join
+with length and positional bounds, and the full sets decide. The order needs a number for each
+word only, so a line's prefix is cut at a first word, and shingles are hashed for prefixes alone;
+their number n is bounded by the windows (`most`) and by the distinct first words (`least`), which
+makes prefixes and bounds a little wide and loses no pair.
 
 Equal lines count once, at their first place. A line goes if any earlier line matches, so not all
-pairs of a group are needed: first each prefix token proposes only its earliest line, of which a line tries
-the one it shares most with, and lines found so leave, twice; only the others then meet all earlier lines.
-Texts are shuffled twice by id (for the sets of lines with company, and for the result); all else is
-hashes. Lines, shingles and prefixes are made by numpy inside the scans, as array functions took over
-twice the CPU budget for them (README.md); all joins and groups are Spark's, the large ones by merge
-at every size.
+pairs of a group are needed: first each prefix token proposes only its earliest line, of which a
+line tries the one it shares most with, and lines found so leave, twice. The others then meet the
+earlier lines of a token, where of each pair the shorter one must hold it among its first
+n - ceil(2 * percent / (100 + percent) * n) + 1 tokens: a passage that many different lines share
+stands further back in them and makes no pairs.
+
+All of it is array functions, joins and groups. Texts are shuffled twice by id (for the sets of lines
+with company, and for the result); all else is hashes. Large joins are merge joins at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spans as S
-from .common import cut, documents, id_in
+from .common import cut, documents, drop, id_in, let
 
 PLACES = 1 << 16
-LOW48 = np.uint64((1 << 48) - 1)
+LOW48 = (1 << 48) - 1
 #: Rounds in which each token proposes one line, the earliest that is still left.
 PIVOTS = 2
-#: Words end at blanks and line feeds.
-_WORD = np.ones(256, dtype=bool)
-_WORD[[10, 32]] = False
-
-
-def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number, start and end of each line, in order."""
-    feed = np.flatnonzero(data == 10)
-    row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feed, "right") - 1])
-    start = np.concatenate([offsets[:-1], feed + 1])
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    end = np.append(start[1:] - 1, 0)
-    last = np.append(row[1:] != row[:-1], True)
-    end[last] = offsets[1:][row[last]]
-    first = np.searchsorted(row, np.arange(len(offsets) - 1))
-    return row, np.arange(len(row)) - first[row], start, end
-
-
-def _shingles(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of each run of `size` words inside a line, and with short one of all words of a
-    line of fewer."""
-    begin, end, _ = S.words(data, offsets, S.SPACE if short else _WORD)
-    sums = S.prefix_sums(S.run_hashes(S.prefix_sums(S.byte_values(41, False)[data]), begin, end))
-    first = np.append(np.searchsorted(begin, starts), len(begin))
-    at, line = S.windows(first, size)
-    hashes = S.run_hashes(sums, at, at + size)
+#: A document is an id and a text (its hash): rows that repeat both are one.
+DOC = ["doc_id", "text_hash"]
+AT = [*DOC, "line_no"]
+
+
+def _words(line: Column, short: bool) -> Column:
     if short:
-        n = np.diff(first)
-        few = np.flatnonzero((n > 0) & (n < size))
-        hashes = np.concatenate([hashes, S.run_hashes(sums, first[few], first[few + 1]) + n[few].astype(np.uint64)])
-        line = np.concatenate([line, few])
-    return hashes, line
-
-
-def _distinct(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by line and value, without doubles."""
-    order = np.lexsort((value, line))
-    line, value = line[order], value[order]
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
-    return line[new], value[new]
-
-
-def _counts(size: int, short: bool):
-    """How many shingles each hash place has in a task."""
-    schema = pa.schema([("place", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(PLACES, dtype=np.int64)
-        for batch in batches:
-            for _, data, offsets in S.text_parts(batch):
-                h, _ = _shingles(data, offsets, _lines(data, offsets)[2], size, short)
-                n += np.bincount((h & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
-        place = np.flatnonzero(n)
-        yield S.batch_of(schema, place.astype(np.int32), n[place])
-
-    return run
-
-
-def _prefixes(rank: np.ndarray, size: int, percent: int, short: bool):
-    """A row for each line with shingles: two hashes of its text, its place, the number of distinct
-    shingles and the prefix of their order."""
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = S.ids_of(batch)
-            for rows, data, offsets in S.text_parts(batch):
-                row, number, start, end = _lines(data, offsets)
-                h, line = _shingles(data, offsets, start, size, short)
-                line, key = _distinct(line, rank[(h & np.uint64(PLACES - 1)).astype(np.int64)] << np.uint64(48) | h & LOW48)
-                n = np.bincount(line, minlength=len(row))
-                most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                first = np.cumsum(n) - n
-                prefix = key[np.arange(len(line)) - first[line] < most[line]]
-                own = np.flatnonzero(n)
-                edge = np.concatenate([[0], np.cumsum(most[own])]).astype(np.int32)
-                hashes = [S.signed(S.run_hashes(S.prefix_sums(S.byte_values(seed, False)[data]), start[own], end[own])) for seed in (43, 47)]
-                yield S.batch_of(schema, *hashes, ids[rows][row[own]], number[own].astype(np.int32), n[own].astype(np.int32), pa.ListArray.from_arrays(pa.array(edge), S.signed(prefix)))
-
-    return run
-
-
-def _sets(size: int, short: bool):
-    """The distinct shingles of the lines that `nos` names."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, nos = S.ids_of(batch), batch.column(batch.schema.get_field_index("nos"))
-            for rows, data, offsets in S.text_parts(batch):
-                row, number, start, _ = _lines(data, offsets)
-                asked = np.zeros(len(row), dtype=bool)
-                first = np.searchsorted(row, np.arange(len(offsets)))
-                for k in range(len(offsets) - 1):
-                    mine = np.asarray(nos[rows.start + k].values, dtype=np.int64)
-                    asked[first[k] + mine[mine < first[k + 1] - first[k]]] = True
-                h, line = _shingles(data, offsets, start, size, short)
-                line, h = _distinct(line[asked[line]], h[asked[line]])
-                own, n = np.unique(line, return_counts=True)
-                edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield S.batch_of(schema, ids[rows][row[own]], number[own].astype(np.int32), pa.ListArray.from_arrays(pa.array(edge), S.signed(h)))
-
-    return run
-
-
-def _rarity(texts: DataFrame, size: int, short: bool) -> np.ndarray:
-    """For each hash place its rank by count, from 0 to 32767."""
-    counts = texts.select("text").mapInArrow(_counts(size, short), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(PLACES, dtype=np.int64)
-    n[counts["place"].to_numpy(dtype=np.int64)] = counts["n"]
-    rank = np.empty(PLACES, dtype=np.uint64)
-    rank[np.argsort(n, kind="stable")] = np.arange(PLACES, dtype=np.uint64) // np.uint64(2)
-    return rank
-
-
-def _match(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (at, other) of lines, other earlier, with their shared prefix tokens c, that can be as near as percent: lengths, places
-    of a shared prefix token, and then the number of shared prefix tokens. All that two lines share
-    up to the end of one's prefix is in both prefixes, so the rest of that line bounds what else
-    they share."""
-    b = others.select("token", F.col("at").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    n, m = F.col("n"), F.col("m")
-    within = (percent * n <= 100 * m) & (percent * m <= 100 * n)
-    most = F.least("pos", "q") + F.least(n - F.col("pos"), m - F.col("q"))
-    pairs = rows.join(b, "token").filter((F.col("other") < F.col("at")) & within & ((100 + percent) * most >= percent * (n + m)))
-    rest = F.greatest(n - _prefix_size(n, percent), m - _prefix_size(m, percent))
-    shared = pairs.groupBy("at", "other", "n", "m").agg(F.count("*").alias("c"))
-    return shared.filter((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("at", "other", "c")
+        line = F.when(line.rlike("[\t\x0b-\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _ranks(texts: DataFrame, short: bool) -> Column:
+    """For each hash place of words its rank by count, from 0 to 32767, as an array."""
+    words = texts.select(F.explode_outer(F.split("text", "[ \t-\r]" if short else "[ \n]")).alias("word")).filter("word <> ''")
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(PLACES - 1)).alias("place")).agg(F.count("*").alias("n"))
+    n = {r.place: r.n for r in counts.collect()}  # PLACES rows at most
+    rank = [0] * PLACES
+    for k, place in enumerate(sorted(range(PLACES), key=lambda p: n.get(p, 0))):
+        rank[place] = k // 2
+    return F.from_json(F.lit(json.dumps(rank)), "array<bigint>")
+
+
+def _shingle(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(words, at + j) for j in range(size)))
+
+
+def _prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> DataFrame:
+    """A row for each prefix token of each line: two hashes of the line, its place, the token, how
+    many distinct first words stand before it (pos), and bounds of the number of tokens."""
+    ranks = _ranks(texts, short)
+
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(PLACES - 1))), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
+
+    # outer explodes and null-safe tests: else the optimizer copies the arrays' expressions into filters below
+    lines = texts.select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    n = F.size("keys")
+    rows = lines.select(*AT, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.transform(_words(F.col("line"), short), key).alias("keys"))
+    rows = rows.withColumn("first_words", F.sort_array(F.array_distinct(F.slice("keys", F.lit(1), F.greatest(n - size + 1, F.lit(0))))))
+    windows = n - size + 1
+    length = F.least(F.size("first_words"), _prefix_size(windows, percent))
+    rows = rows.select("*", F.get("first_words", length - 1).alias("last"))
+    starts = F.when(n >= size, F.sequence(F.lit(0), n - size))
+    few = F.lit(False)
+    if short:
+        few = (n > 0) & (n < size)
+        starts = F.when(few, F.array(F.lit(0))).otherwise(starts)
+    rows = rows.select(*AT, "h", "g", "keys", "first_words", "last", F.explode_outer(starts).alias("i"))
+    own = F.get("keys", F.col("i"))
+    rows = rows.filter(F.coalesce(own <= F.col("last"), few & F.col("i").isNotNull()))
+    token = F.when(few, F.xxhash64(F.col("keys"), F.lit(size))).otherwise(_shingle(F.col("keys"), F.col("i"), size)) if short else _shingle(F.col("keys"), F.col("i"), size)
+    pos = F.greatest(F.array_position("first_words", own).cast("int") - 1, F.lit(0))
+    one = F.lit(1)
+    return rows.select(*AT, "h", "g", token.alias("token"), pos.alias("pos"), F.greatest(windows, one).alias("most"), F.greatest(F.size("first_words"), one).alias("least"))
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
     return n - F.floor((percent * n + 99) / 100).cast("int") + 1
 
 
+def _sets(texts: DataFrame, shared: DataFrame, size: int, short: bool) -> DataFrame:
+    """at and the distinct shingles of the lines in shared."""
+    asked = shared.select("at").distinct().groupBy(*(F.col(f"at.{c}").alias(c) for c in DOC)).agg(F.collect_set("at.line_no").alias("nos"))
+    found = texts.join(asked.hint("merge"), DOC)
+    lines = let(F.split("text", "\n"), lambda p: F.transform("nos", lambda k: F.struct(k.alias("line_no"), F.get(p, k).alias("line"))))
+    rows = found.select(*DOC, F.explode_outer(lines).alias("one")).select(*DOC, F.col("one.line_no").alias("line_no"), F.transform(_words(F.col("one.line"), short), lambda w: F.xxhash64(w)).alias("w"))
+    tokens = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle(F.col("w"), i, size))
+    if short:
+        tokens = F.when(F.size("w") < size, F.array(F.xxhash64(F.col("w"), F.lit(size)))).otherwise(tokens)
+    return rows.select(F.struct(*AT).alias("at"), F.array_distinct(tokens).alias("tokens")).groupBy("at").agg(F.first("tokens").alias("tokens"))
+
+
+def _shorter(percent: int) -> Column:
+    """A token that the shorter line of a pair can have as its first common one."""
+    return (100 + percent) * (F.col("most") - F.col("pos")) >= 2 * percent * F.col("least")
+
+
+def _meet(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """at, other (earlier) for each token that lines of both share, if their lengths allow a match."""
+    b = others.select("token", F.col("at").alias("other"), F.col("pos").alias("other_pos"), F.col("most").alias("other_most"), F.col("least").alias("other_least"))
+    within = (percent * F.col("least") <= 100 * F.col("other_most")) & (percent * F.col("other_least") <= 100 * F.col("most"))
+    return rows.join(b, "token").filter((F.col("other") < F.col("at")) & within)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """at, other and the number c of prefix tokens seen, if the places of their first common token
+    leave enough tokens behind it in both."""
+    behind = F.least(F.col("most") - F.col("pos"), F.col("other_most") - F.col("other_pos"))
+    enough = (100 + percent) * behind >= percent * (F.col("least") + F.col("other_least"))
+    # the first common token has the least pos on both sides, and so the most behind it
+    return met.groupBy("at", "other").agg(F.count("*").alias("c"), F.bool_or(enough).alias("enough")).filter("enough").select("at", "other", "c")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The lines `at` of pairs whose sets are as near as percent."""
     a, b = sets.select("at", F.col("tokens").alias("x")), sets.select(F.col("at").alias("other"), F.col("tokens").alias("y"))
@@ -173,55 +134,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(id_in(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool = False) -> DataFrame:
-    """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
-    the ids with such lines.
-
-    Lines end at line feeds, words at blanks; order is by doc_id, then by place. A line of fewer words than `size`
-    stays, or with `short` has one shingle of all its words, so that it goes if an earlier line has the same words
-    (a blank line stays); words end at \\x09-\\x0D too then. Matches are judged on the input, not on what is left. A null text has no lines,
-    an empty one has one. A null doc_id sorts before all others; rows that repeat a doc_id are one
-    document, whose removed lines go from each. Other columns are ignored; an empty table gives an
-    empty result."""
-    texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    keyed = texts.mapInArrow(_prefixes(_rarity(texts, size, short), size, percent, short), "h long, g long, doc_id long, line_no int, n int, prefix array<long>")
-    at = F.struct("doc_id", "line_no")
-    firsts = cut(keyed.groupBy("h", "g").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "lines")
-
-    tokens = firsts.select(F.explode("prefix").alias("token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    shared = cut(firsts.select("at", "n", F.posexplode("prefix").alias("pos", "token")).join(several, "token"), "tokens")
-    mine = shared.select("at").distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    sets = texts.join(mine.hint("merge"), "doc_id").mapInArrow(_sets(size, short), "doc_id long, line_no int, tokens array<long>")
-    sets = cut(sets.groupBy(at.alias("at")).agg(F.max("tokens").alias("tokens")), "sets")
-    gone, rest = None, shared
+    """doc_id (NULL_ID for null), text_hash and removed, the sorted numbers of the lines that go,
+    from 0, for the documents with such lines.
+
+    Lines end at line feeds, words at blanks; order is by doc_id, then by place. A line of fewer
+    words than `size` stays, or with `short` has one shingle of all its words, so that it goes if an
+    earlier line has the same words (a blank line stays); words end at \\x09-\\x0D too then. Matches
+    are judged on the input, not on what is left. A null text has no lines, an empty one has one. A
+    null doc_id sorts before all others; rows of one doc_id with different texts are documents in
+    the order of their texts' hashes, rows that repeat both are one, whose lines go from each. Other
+    columns are ignored; an empty table gives an empty result."""
+    texts = _texts(docs)
+    prefixes = cut(_prefixes(texts, percent, size, short), "prefixes")
+    lines = cut(prefixes.select("h", "g", *AT).distinct(), "lines")
+    company = prefixes.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token")
+    first = F.min(F.struct(F.struct(*AT).alias("at"), "pos", "most", "least")).alias("one")
+    shared = cut(prefixes.hint("merge").join(company.hint("merge"), "token").groupBy("token", "h", "g").agg(first).select("token", "one.*"), "shared")
+    sets = cut(_sets(texts, shared, size, short), "sets")
+
+    gone, rest, old = None, shared, []
     for _ in range(PIVOTS):
-        pivot = rest.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
-        best = _match(rest, pivot, percent).groupBy("at").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+        pivot = rest.groupBy("token").agg(F.min(F.struct("at", "pos", "most", "least")).alias("e")).select("token", "e.*")
+        best = _pairs(_meet(rest, pivot, percent), percent).groupBy("at").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
         more = _verified(best, sets, percent)
         gone = cut(more if gone is None else gone.union(more), "gone")
         rest = cut(shared.join(gone.hint("merge"), "at", "left_anti"), "rest")
-    gone = cut(gone.union(_verified(_match(rest, shared, percent).select("at", "other"), sets, percent)).distinct(), "gone")
+        old += [gone, rest]
+    met = _meet(rest, shared.filter(_shorter(percent)), percent).union(_meet(rest.filter(_shorter(percent)), shared, percent))
+    gone = cut(gone.union(_verified(_pairs(met, percent).select("at", "other"), sets, percent)).distinct(), "gone")
 
-    verdict = firsts.select("h", "g", F.col("at").alias("first")).join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    removed = keyed.select("h", "g", "doc_id", "line_no").join(verdict.hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != at))
-    return cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c"))
+    verdict = firsts.join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left").filter("c > 1 or gone")
+    drop(prefixes, shared, sets, *old)
+    removed = lines.hint("merge").join(verdict.hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != F.struct(*AT)))
+    out = cut(removed.groupBy(*DOC).agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    drop(lines, gone)
+    return out
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """All rows and columns of docs, and a struct `_lines` with n_lines, removed and kept (the other
-    lines, joined by line feeds; null for a null text)."""
-    gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_key", id_in()).join(gone.hint("merge"), F.col("_key") == F.col("_id"), "left")
-    rows = rows.withColumn("_parts", F.split(F.col("text").cast("string"), "\n")).withColumn("_removed", F.coalesce("_removed", F.expr("cast(array() as array<int>)")))
-    kept = F.when(F.size("_removed") == 0, F.col("_parts")).otherwise(F.filter("_parts", lambda _, i: ~F.array_contains("_removed", i)))
-    lines = F.struct(F.coalesce(F.array_size("_parts"), F.lit(0)).cast("long").alias("n_lines"), F.col("_removed").alias("removed"), F.array_join(kept, "\n").alias("kept"))
-    return rows.select(*docs.columns, lines.alias("_lines"))
+    """A struct `row` of each row's columns, n_lines, removed and kept (the other lines, joined by
+    line feeds; null for a null text)."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), id_in(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = rows.join(removed.hint("merge"), DOC, "left")
+
+    def left(p: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "removed"), lambda i: F.get(p, i)), "\n")
+
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), left))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    none = F.expr("cast(array() as array<int>)")
+    return rows.select("row", F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"), kept.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_lines, removed and kept for every row of docs; see removed_lines."""
-    return without_lines(docs.select("doc_id", "text"), removed_lines(docs, percent, size)).select("doc_id", "_lines.*")
+    own = docs.select("doc_id", "text")
+    return without_lines(own, removed_lines(own, percent, size)).select("row.doc_id", "n_lines", "removed", "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,10 +212,14 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_pipeline_edges(spark, docs, nothing, sf_dir):
-    for given in (docs.withColumn("source", F.lit(None).cast("string")), nothing):
+    own = ("_id", "_lang", "_score", "_lines", "_parts", "_key", "_removed", "row", "kept", "removed", "lang_pred", "score", "score_", "text_hash", "line_no")
+    clash = docs.drop(*own).select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own))
+    for given in (clash.withColumn("source", F.lit(None).cast("string")), nothing):
         out = given
         for _, stage in corpus_pipeline.STAGES:
             out = common.cut(stage(spark, out, sf_dir), "edges")
+            if given is not nothing and "_key" in out.columns:
+                assert out.columns == given.columns and out.filter(F.concat_ws(",", *own) != F.concat_ws(",", *(F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in own))).count() == 0
         assert out.count() == 0 if given is nothing else out.count() > 10
 
 
@@ -265,4 +269,4 @@ def test_language_id_learns_every_label(spark):
         rows += [(None if j else k, " ".join(rng.choice(own) for _ in range(40)), f"x{k}") for j in range(4 if k % 2 else 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.label(docs, langid.train(docs)).collect()
-    assert len(got) == len(rows) and all(r._lang == r.lang for r in got)
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
