@@ -9,19 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from cotejo.llm import decontaminate, langid, lines, near, packing
-from cotejo.llm.common import NULL_ID, cut, documents, id_in
-from pyspark.sql import Column, DataFrame, SparkSession
+from cotejo.llm.common import cut, documents, drop, free, id_in
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _with_text(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
-
-
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids."""
-    ids = ids.select(id_in().alias("_id")).distinct()
-    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_id"), how)
+    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids; two nulls are equal."""
+    rows = docs.select(F.struct("*").alias("row"), id_in())
+    return rows.join(ids.select(id_in()).distinct(), "doc_id", how).select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,24 +25,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~langid.held_out()))
     if not model.families:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return langid.label(docs, model).filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = free(docs, "lang_pred", "score")
+    return langid.label(docs, model, lang, score).filter(F.col(lang) != langid.UNKNOWN).drop(lang, score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that an earlier line nearly equals, short ones too, and drops documents with
-    nothing left."""
+    nothing left. n_chars is that of the new text, where there is such a column."""
     found = lines.without_lines(docs, lines.removed_lines(docs, short=True))
-    left = (F.size("_lines.removed") == 0) | F.col("_lines.kept").rlike(r"\S")
-    return _with_text(found.filter(left), F.col("_lines.kept")).select(*docs.columns)
+    left = found.filter((F.size("removed") == 0) | F.col("kept").rlike(r"\S"))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (word shingles at 0.8), and
-    one row of rows that repeat it."""
+    """Keeps the document with the least id of each group of near copies (word shingles at 0.8). Of
+    rows that repeat an id and a text it keeps the one that is least as JSON."""
     kept = _only(docs, near.near_dedup(docs, percent=80).filter("kept"), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    rows = kept.select("doc_id", "text", F.struct("*").alias("row"))
+    return rows.groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +74,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
