@@ -20,6 +20,7 @@ def spark(tmp_path_factory) -> SparkSession:
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", str(place / "local"))
+        .config("spark.checkpoint.dir", f"file://{place}/checkpoints")
         .config("spark.sql.warehouse.dir", str(place / "warehouse"))
         .getOrCreate()
     )
