@@ -1,23 +1,25 @@
 """Operator 8, line dedup: remove lines whose shingles are nearly those of an earlier line.
 
-Method: an exact set-similarity join. A line's tokens are its distinct 5-word shingles, ordered by
-rarity: first the rarity of the shingle's first word (a count of all words in 65,536 hash places, a
-table of fixed size), then that word's hash, then the shingle's. Two lines at Jaccard `percent` or
-more share a token among their first n - ceil(percent * n) + 1; those prefixes meet in an equi-join
-with length and positional bounds, and the full sets decide. The order needs a number for each
-word only, so a line's prefix is cut at a first word, and shingles are hashed for prefixes alone;
-their number n is bounded by the windows (`most`) and by the distinct first words (`least`), which
-makes prefixes and bounds a little wide and loses no pair.
+Method: an exact set-similarity join. A line's tokens are its distinct 5-word shingles. Two lines
+at Jaccard `percent` or more share a token among their first n - ceil(percent * n) + 1, in any
+common order; such prefixes meet in equi-joins, with length and positional bounds, and the full
+sets decide.
+
+1. Which lines have company at all? In an order of shingles by the hash of their first word a
+   prefix is cut at a first word, so only the shingles of prefixes are hashed, straight from the
+   scan. Lines whose prefix tokens are all their own leave here: most of them.
+2. The rest are tokenized whole, and ordered by rarity (a count of their shingles in 65,536 hash
+   places, a table of fixed size; ties by hash). Their rarity prefixes are joined.
 
 Equal lines count once, at their first place. A line goes if any earlier line matches, so not all
 pairs of a group are needed: first each prefix token proposes only its earliest line, of which a
-line tries the one it shares most with, and lines found so leave, twice. The others then meet the
+line tries the two it shares most with, and lines found so leave. The others then meet the
 earlier lines of a token, where of each pair the shorter one must hold it among its first
 n - ceil(2 * percent / (100 + percent) * n) + 1 tokens: a passage that many different lines share
 stands further back in them and makes no pairs.
 
 All of it is array functions, joins and groups. Texts are shuffled twice by id (for the sets of lines
-with company, and for the result); all else is hashes. Large joins are merge joins at every size.
+with company, and for the result); all else is hashes. Large joins don't broadcast at any size.
 """
 
 from __future__ import annotations
@@ -26,16 +28,16 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, documents, drop, id_in, let
 
 PLACES = 1 << 16
 LOW48 = (1 << 48) - 1
-#: Rounds in which each token proposes one line, the earliest that is still left.
+#: Earliest lines of its tokens that a line tries first.
 PIVOTS = 2
-#: A document is an id and a text (its hash): rows that repeat both are one.
-DOC = ["doc_id", "text_hash"]
-AT = [*DOC, "line_no"]
+#: A line's place, with a hash of its bytes (rows may repeat an id), and a second hash.
+AT, ALL = ["doc_id", "line_no", "h"], ["doc_id", "line_no", "h", "g"]
 
 
 def _words(line: Column, short: bool) -> Column:
@@ -44,87 +46,83 @@ def _words(line: Column, short: bool) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _ranks(texts: DataFrame, short: bool) -> Column:
-    """For each hash place of words its rank by count, from 0 to 32767, as an array."""
-    words = texts.select(F.explode_outer(F.split("text", "[ \t-\r]" if short else "[ \n]")).alias("word")).filter("word <> ''")
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(PLACES - 1)).alias("place")).agg(F.count("*").alias("n"))
-    n = {r.place: r.n for r in counts.collect()}  # PLACES rows at most
-    rank = [0] * PLACES
-    for k, place in enumerate(sorted(range(PLACES), key=lambda p: n.get(p, 0))):
-        rank[place] = k // 2
-    return F.from_json(F.lit(json.dumps(rank)), "array<bigint>")
-
-
 def _shingle(words: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(words, at + j) for j in range(size)))
 
 
-def _prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> DataFrame:
-    """A row for each prefix token of each line: two hashes of the line, its place, the token, how
-    many distinct first words stand before it (pos), and bounds of the number of tokens."""
-    ranks = _ranks(texts, short)
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.floor((percent * n + 99) / 100).cast("int") + 1
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(PLACES - 1))), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
 
+def _first_prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> DataFrame:
+    """ALL and token for each token of each line's prefix in the order of first words. The prefix holds
+    as many first words as it needs tokens were all windows different, so never too few."""
     # outer explodes and null-safe tests: else the optimizer copies the arrays' expressions into filters below
-    lines = texts.select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    n = F.size("keys")
-    rows = lines.select(*AT, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.transform(_words(F.col("line"), short), key).alias("keys"))
-    rows = rows.withColumn("first_words", F.sort_array(F.array_distinct(F.slice("keys", F.lit(1), F.greatest(n - size + 1, F.lit(0))))))
-    windows = n - size + 1
-    length = F.least(F.size("first_words"), _prefix_size(windows, percent))
-    rows = rows.select("*", F.get("first_words", length - 1).alias("last"))
-    starts = F.when(n >= size, F.sequence(F.lit(0), n - size))
-    few = F.lit(False)
+    lines = texts.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    hashes = F.transform(_words(F.col("line"), short), lambda w: F.xxhash64(w)).alias("w")
+    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), hashes)
+    n = F.size("w")
+    few = (n > 0) & (n < size) if short else F.lit(False)
+    starts = F.slice("w", F.lit(1), F.when(few, 1).otherwise(F.greatest(n - size + 1, F.lit(0))))
+    rows = rows.withColumn("first_words", F.sort_array(F.array_distinct(starts)))
+    last = F.get("first_words", F.least(F.size("first_words"), _prefix_size(n - size + 1, percent)) - 1).alias("last")
+    rows = rows.select(*ALL, "w", last, F.posexplode_outer(starts).alias("i", "own")).filter(F.coalesce(F.col("own") <= F.col("last"), few))
+    token = _shingle(F.col("w"), F.col("i"), size)
     if short:
-        few = (n > 0) & (n < size)
-        starts = F.when(few, F.array(F.lit(0))).otherwise(starts)
-    rows = rows.select(*AT, "h", "g", "keys", "first_words", "last", F.explode_outer(starts).alias("i"))
-    own = F.get("keys", F.col("i"))
-    rows = rows.filter(F.coalesce(own <= F.col("last"), few & F.col("i").isNotNull()))
-    token = F.when(few, F.xxhash64(F.col("keys"), F.lit(size))).otherwise(_shingle(F.col("keys"), F.col("i"), size)) if short else _shingle(F.col("keys"), F.col("i"), size)
-    pos = F.greatest(F.array_position("first_words", own).cast("int") - 1, F.lit(0))
-    one = F.lit(1)
-    return rows.select(*AT, "h", "g", token.alias("token"), pos.alias("pos"), F.greatest(windows, one).alias("most"), F.greatest(F.size("first_words"), one).alias("least"))
-
-
-def _prefix_size(n: Column, percent: int) -> Column:
-    return n - F.floor((percent * n + 99) / 100).cast("int") + 1
+        token = F.when(few, F.xxhash64(F.col("w"), F.lit(size))).otherwise(token)
+    return rows.select(*ALL, token.alias("token"))
 
 
-def _sets(texts: DataFrame, shared: DataFrame, size: int, short: bool) -> DataFrame:
-    """at and the distinct shingles of the lines in shared."""
-    asked = shared.select("at").distinct().groupBy(*(F.col(f"at.{c}").alias(c) for c in DOC)).agg(F.collect_set("at.line_no").alias("nos"))
-    found = texts.join(asked.hint("merge"), DOC)
+def _sets(texts: DataFrame, company: DataFrame, size: int, short: bool) -> DataFrame:
+    """at and the distinct shingles of the lines in company."""
+    asked = company.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
+    found = texts.join(asked.hint("merge"), "doc_id")
     lines = let(F.split("text", "\n"), lambda p: F.transform("nos", lambda k: F.struct(k.alias("line_no"), F.get(p, k).alias("line"))))
-    rows = found.select(*DOC, F.explode_outer(lines).alias("one")).select(*DOC, F.col("one.line_no").alias("line_no"), F.transform(_words(F.col("one.line"), short), lambda w: F.xxhash64(w)).alias("w"))
-    tokens = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle(F.col("w"), i, size))
+    line = F.col("one.line")
+    rows = found.select("doc_id", F.explode_outer(lines).alias("one")).select("doc_id", "one.line_no", F.xxhash64(line).alias("h"), F.transform(_words(line, short), lambda w: F.xxhash64(w)).alias("w"))
+    tokens = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle(F.col("w"), i, size)))
     if short:
-        tokens = F.when(F.size("w") < size, F.array(F.xxhash64(F.col("w"), F.lit(size)))).otherwise(tokens)
-    return rows.select(F.struct(*AT).alias("at"), F.array_distinct(tokens).alias("tokens")).groupBy("at").agg(F.first("tokens").alias("tokens"))
+        tokens = F.when(F.size("w").between(1, size - 1), F.array(F.xxhash64(F.col("w"), F.lit(size)))).otherwise(tokens)
+    rows = rows.select(F.struct(*AT).alias("at"), F.array_distinct(tokens).alias("tokens"))
+    return rows.groupBy("at").agg(F.first("tokens").alias("tokens")).filter("tokens is not null")
+
+
+def _rarity(sets: DataFrame) -> Column:
+    """For each hash place of shingles its rank by count, from 0 to 32767, as an array."""
+    places = sets.select(F.explode_outer("tokens").alias("t")).select(F.col("t").bitwiseAND(F.lit(PLACES - 1)).alias("place"))
+    n = {r.place: r.n for r in places.groupBy("place").agg(F.count("*").alias("n")).collect()}  # PLACES rows at most
+    rank = [0] * PLACES
+    for k, place in enumerate(sorted(range(PLACES), key=lambda p: n.get(p, 0))):
+        rank[place] = k // 2
+    return F.from_json(F.lit(json.dumps(rank)), "array<bigint>")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """at, the number n of its tokens, and token and pos of those in its rarity prefix."""
+    rarity = _rarity(sets)
+    key = F.transform("tokens", lambda t: F.shiftleft(F.get(rarity, t.bitwiseAND(F.lit(PLACES - 1))), 48).bitwiseOR(t.bitwiseAND(F.lit(LOW48))))
+    n = F.size("tokens")
+    return sets.select("at", n.alias("n"), F.posexplode_outer(F.slice(F.sort_array(key), F.lit(1), _prefix_size(n, percent))).alias("pos", "token"))
 
 
 def _shorter(percent: int) -> Column:
     """A token that the shorter line of a pair can have as its first common one."""
-    return (100 + percent) * (F.col("most") - F.col("pos")) >= 2 * percent * F.col("least")
+    return (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
 
 
 def _meet(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """at, other (earlier) for each token that lines of both share, if their lengths allow a match."""
-    b = others.select("token", F.col("at").alias("other"), F.col("pos").alias("other_pos"), F.col("most").alias("other_most"), F.col("least").alias("other_least"))
-    within = (percent * F.col("least") <= 100 * F.col("other_most")) & (percent * F.col("other_least") <= 100 * F.col("most"))
-    return rows.join(b, "token").filter((F.col("other") < F.col("at")) & within)
+    """at, other (earlier) and whether both have tokens enough from here on, for each prefix token that
+    lines of both share, if their lengths allow a match."""
+    b = others.select("token", F.col("at").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    n, m = F.col("n"), F.col("m")
+    met = rows.join(b, "token").filter((F.col("other") < F.col("at")) & (percent * n <= 100 * m) & (percent * m <= 100 * n))
+    return met.select("at", "other", ((100 + percent) * F.least(n - F.col("pos"), m - F.col("q")) >= percent * (n + m)).alias("enough"))
 
 
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """at, other and the number c of prefix tokens seen, if the places of their first common token
-    leave enough tokens behind it in both."""
-    behind = F.least(F.col("most") - F.col("pos"), F.col("other_most") - F.col("other_pos"))
-    enough = (100 + percent) * behind >= percent * (F.col("least") + F.col("other_least"))
-    # the first common token has the least pos on both sides, and so the most behind it
-    return met.groupBy("at", "other").agg(F.count("*").alias("c"), F.bool_or(enough).alias("enough")).filter("enough").select("at", "other", "c")
+def _pairs(met: DataFrame) -> DataFrame:
+    """at, other and the number c of prefix tokens met, if the places of the first common token,
+    which has most tokens behind it in both, allow a match."""
+    return met.groupBy("at", "other").agg(F.count("*").alias("c"), F.bool_or("enough").alias("enough")).filter("enough").select("at", "other", "c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,46 +132,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(id_in(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-
-
 def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool = False) -> DataFrame:
-    """doc_id (NULL_ID for null), text_hash and removed, the sorted numbers of the lines that go,
-    from 0, for the documents with such lines.
+    """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
+    the ids with such lines.
 
     Lines end at line feeds, words at blanks; order is by doc_id, then by place. A line of fewer
     words than `size` stays, or with `short` has one shingle of all its words, so that it goes if an
     earlier line has the same words (a blank line stays); words end at \\x09-\\x0D too then. Matches
     are judged on the input, not on what is left. A null text has no lines, an empty one has one. A
-    null doc_id sorts before all others; rows of one doc_id with different texts are documents in
-    the order of their texts' hashes, rows that repeat both are one, whose lines go from each. Other
+    null doc_id sorts before all others; rows that repeat a doc_id are one document, with different
+    lines of one place in the order of their hashes, whose removed lines go from each row. Other
     columns are ignored; an empty table gives an empty result."""
-    texts = _texts(docs)
-    prefixes = cut(_prefixes(texts, percent, size, short), "prefixes")
-    lines = cut(prefixes.select("h", "g", *AT).distinct(), "lines")
-    company = prefixes.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token")
-    first = F.min(F.struct(F.struct(*AT).alias("at"), "pos", "most", "least")).alias("one")
-    shared = cut(prefixes.hint("merge").join(company.hint("merge"), "token").groupBy("token", "h", "g").agg(first).select("token", "one.*"), "shared")
-    sets = cut(_sets(texts, shared, size, short), "sets")
-
-    gone, rest, old = None, shared, []
-    for _ in range(PIVOTS):
-        pivot = rest.groupBy("token").agg(F.min(F.struct("at", "pos", "most", "least")).alias("e")).select("token", "e.*")
-        best = _pairs(_meet(rest, pivot, percent), percent).groupBy("at").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-        more = _verified(best, sets, percent)
-        gone = cut(more if gone is None else gone.union(more), "gone")
-        rest = cut(shared.join(gone.hint("merge"), "at", "left_anti"), "rest")
-        old += [gone, rest]
+    texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
+    tokens = cut(_first_prefixes(texts, percent, size, short), "tokens")
+    lines = cut(tokens.select(*ALL).distinct(), "lines")
+    several = cut(tokens.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token"), "several")
+    # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
+    company = cut(tokens.join(several.hint("shuffle_hash"), "token").select(*ALL).distinct(), "company")
+    drop(tokens, several)
+    sets = cut(_sets(texts, company.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("one")).select("one.*"), size, short), "sets")
+    prefixes = cut(_prefixes(sets, percent), "prefixes")
+    several = prefixes.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    shared = cut(prefixes.join(cut(several, "several").hint("shuffle_hash"), "token"), "shared")
+    drop(company, prefixes)
+
+    pivot = shared.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
+    order = Window.partitionBy("at").orderBy(F.desc("c"), "other")
+    tried = _pairs(_meet(shared, pivot, percent)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("at", "other")
+    first_gone = cut(_verified(tried, sets, percent), "gone")
+    rest = cut(shared.join(first_gone.hint("merge"), "at", "left_anti"), "rest")
     met = _meet(rest, shared.filter(_shorter(percent)), percent).union(_meet(rest.filter(_shorter(percent)), shared, percent))
-    gone = cut(gone.union(_verified(_pairs(met, percent).select("at", "other"), sets, percent)).distinct(), "gone")
+    gone = cut(first_gone.union(_verified(_pairs(met).select("at", "other"), sets, percent)).distinct(), "gone")
 
+    drop(shared, sets, rest, first_gone)
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c"))
     verdict = firsts.join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left").filter("c > 1 or gone")
-    drop(prefixes, shared, sets, *old)
-    removed = lines.hint("merge").join(verdict.hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != F.struct(*AT)))
-    out = cut(removed.groupBy(*DOC).agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    removed = lines.hint("merge").join(cut(verdict, "verdict").hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != F.struct(*AT)))
+    out = cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
     drop(lines, gone)
     return out
 
@@ -181,17 +176,18 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """A struct `row` of each row's columns, n_lines, removed and kept (the other lines, joined by
     line feeds; null for a null text)."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct("*").alias("row"), id_in(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = rows.join(removed.hint("merge"), DOC, "left")
+    rows = docs.select(F.struct("*").alias("row"), id_in(), F.col("text").cast("string").alias("text"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = rows.join(removed.hint("merge"), "doc_id", "left").withColumn("feeds", feeds)
 
     def left(p: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "removed"), lambda i: F.get(p, i)), "\n")
 
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), left))
-    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     none = F.expr("cast(array() as array<int>)")
-    return rows.select("row", F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"), kept.alias("kept"))
+    # of rows that repeat an id, one may have fewer lines, or no text
+    own = F.when(F.array_max("removed") <= F.col("feeds"), F.col("removed")).otherwise(F.filter("removed", lambda k: k <= F.col("feeds")))
+    return rows.select("row", F.coalesce(F.col("feeds") + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(own, none).alias("removed"), kept.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
