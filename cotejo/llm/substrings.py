@@ -7,8 +7,9 @@ document on either side. Only anchors at cover positions are hashed (6 of 31); a
 two documents then extend to the windows around them, whose hashes (96 bits) decide.
 
 Shuffles: anchors (a hash, an id), windows near shared anchors, and the texts by id. Hot anchors
-and windows are pre-aggregated to a smallest and a largest id before the shuffle; the joins back
-are equi-joins with a small row on the other side, which AQE splits where a key is hot.
+and windows are pre-aggregated to a smallest and a largest id before the shuffle, and what two
+documents share is written as a table of its own; the joins back then are plain equi-joins with one
+row a key on the other side, whose hot partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut, documents, id_in, id_out
+from .common import cut, documents, drop, id_in, id_out
 
 #: A perfect difference cover, 6 residues whose differences are all of 1..30.
 PERIOD = 31
@@ -127,11 +128,13 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError(f"window must be at least {PERIOD + 8}: the anchors would be too short")
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     anchors = texts.mapInArrow(_anchors(window), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
-    near = cut(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("near")), "anchors")
-    windows = texts.join(near, "doc_id").mapInArrow(_windows(window), "w long, w2 int, doc_id long, pos int")
-    least = windows.groupBy("w", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    hits = cut(windows.join(least, ["w", "w2"]).filter("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("hits")), "windows")
+    shared = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"), "shared")
+    near = cut(anchors.hint("merge").join(shared.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("near")), "anchors")
+    drop(shared)
+    windows = cut(texts.join(near, "doc_id").mapInArrow(_windows(window), "w long, w2 int, doc_id long, pos int"), "windows")
+    least = cut(windows.groupBy("w", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), "least")
+    hits = cut(windows.hint("merge").join(least.hint("merge"), ["w", "w2"]).filter("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("hits")), "hits")
+    drop(near, windows, least)
     out = texts.join(hits, "doc_id", "left").mapInArrow(_assemble(window), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
     return out.withColumn("doc_id", id_out())
 
