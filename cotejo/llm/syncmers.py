@@ -6,8 +6,8 @@ passages have equal anchors wherever they stand, and of any K - S + 1 k-mers in
 one is chosen. The fingerprint is the bottom sketch of the anchors' hashes; the likeness of two
 is the share of the union's least hashes that both hold.
 
-All of it is array functions inside the scan's projection. The only text that moves is each
-document once by its id, and the head of each next document.
+All of it is array functions. Each text and each edited text is sketched once; the only text that
+moves is each document once by its id, and the head of each next document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, id_in, id_out
+from .common import cut, documents, id_in, id_out, let as _let
 
 K, INNER, SKETCH = 4, 2, 64
 
@@ -26,11 +26,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def anchors(hashes: Column, k: int = K, inner: int = INNER) -> Column:
     """Array of (pos, hash): the closed syncmers of an array of word hashes. A text of few words,
     but not none, that has no syncmer has one anchor of all of them."""
@@ -88,15 +83,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document in descending order of doc_id.
 
     A null text is empty; a null doc_id sorts last in that order; rows that repeat a doc_id are one
-    document, whose length and head are those of its longest and greatest text; a single document
-    is its own next. Other columns are ignored; an empty table gives an empty result."""
-    texts = docs.select(id_in(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    document, whose head and sketch as a next one are those of its longest text (of several, the
+    one with the greatest head); a single document is its own next. Other columns are ignored; an
+    empty table gives an empty result."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(id_in(), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    # a text is sketched once; what needs it later has the 64 numbers by id and hash
+    sketches = cut(texts.select("doc_id", "text_hash", sketch(F.col("text")).alias("hashes")).groupBy("doc_id", "text_hash").agg(F.first("hashes").alias("hashes")), "sketches")
     own = texts.join(neighbours(texts), "doc_id")
-    heads = own.groupBy(F.col("upper").alias("doc_id")).agg(F.max(F.struct(F.left("text", F.col("upper_half")).alias("head"), sketch(F.col("text")).alias("next_hashes"))).alias("next"))
-    both = own.select("doc_id", "text", F.char_length("text").alias("chars")).join(heads, "doc_id")
+    heads = own.groupBy(F.col("upper").alias("doc_id")).agg(F.max(F.struct("n", F.char_length("text").alias("chars"), F.left("text", F.col("upper_half")).alias("head"), "text_hash", F.col("doc_id").alias("next_id"))).alias("next"))
+    both = own.select("doc_id", "text", "text_hash", F.char_length("text").alias("chars")).join(heads, "doc_id")
     half = F.floor(F.col("chars") / 2).cast("int")
-    both = both.select("doc_id", F.col("chars").cast("long").alias("n_chars"), sketch(F.col("text")).alias("hashes"), F.concat(F.left("text", F.col("chars") - half), F.left("next.head", half)).alias("edited"), "next.next_hashes")
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hashes", sketch(F.col("edited")).alias("edited_hashes"), "next_hashes")
+    edited = F.concat(F.left("text", F.col("chars") - half), F.left("next.head", half))
+    both = both.select("doc_id", "text_hash", F.col("chars").cast("long").alias("n_chars"), edited.alias("edited"), "next.next_id", F.col("next.text_hash").alias("next_hash"))
+    both = cut(both.select("doc_id", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_hashes"), "next_id", "next_hash"), "edited")
+    both = both.join(sketches, ["doc_id", "text_hash"]).join(sketches.toDF("next_id", "next_hash", "next_hashes"), ["next_id", "next_hash"])
     return both.select(id_out(), "n_chars", "edited_sha256", "hashes", "edited_hashes", likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
 
 
