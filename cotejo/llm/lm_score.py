@@ -1,13 +1,14 @@
 """Operator 7, LM scoring: marginal likelihood over all segmentations of a subword lattice.
 
-The pieces are those of a public vocabulary; no tokenizer is trained. Their weights are counts:
-the vocabulary's own segmentation of the training words, smoothed by a Zipf prior over the
-vocabulary's scores (its rank order). A word is a lattice of pieces over its characters, with a
-chain of byte pieces under each character, so that every word has a path; the forward recursion
-adds all paths in log space, with a chance to go on after each piece, so that all words together
-have mass 1. The model of a text is a product over its words and one end; a word has two ways:
-as a whole, with its discounted training count, or through the lattice, with the mass that the
-discount (0.5 a word type) set free.
+The pieces and their scores are those of a public vocabulary; no tokenizer is trained. It is a BPE
+model, whose scores are merge ranks (0, -1, -2, ...), so a piece's normalised weight is a Zipf share
+of its rank; half of all weight follows these scores, and half the pieces' counts in the vocabulary's
+own segmentation of the training words (CORPUS). A word is a lattice of pieces over its characters,
+with a chain of byte pieces under each character, so that every word has a path; the forward
+recursion adds all paths in log space, with a chance to go on after each piece, so that all words
+together have mass 1. `score` is the product of the marginals of a text's words, and of one end.
+`word_score` is another model beside it: a word as a whole, with its discounted training count, and
+its lattice marginal with the mass that the discount (0.5 a word type) set free.
 
 Scale: a block of texts (about 24 MB) emits each of its distinct words once, so hot words are
 pre-aggregated; counts and lattice run once per distinct word of the corpus; words with their
@@ -33,8 +34,11 @@ from .common import crc_remainder, cut, documents, id_in, id_out
 
 BLOCK_BYTES = 24 << 20
 WORDS_A_TASK = 50_000
-DISCOUNT = 0.5
+DISCOUNT, CORPUS = 0.5, 0.5
+#: Longer words go through the lattice one by one.
+LONG = 48
 MARK = "▁"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MODELS: dict = {}
 
 
@@ -111,24 +115,38 @@ class Lattice:
     def __init__(self, path: str | None, counts: dict[int, int], n_words: int):
         model = vocabulary(path)
         size = model.get_piece_size()
-        prior = [0.0 if model.is_control(i) or model.is_unknown(i) else 1.0 / (10 + max(0.0, -model.get_score(i))) for i in range(size)]
-        scale = 1000.0 / sum(prior)
-        weight = [(counts.get(i, 0) if p else 0) + p * scale for i, p in enumerate(prior)]
-        total = sum(weight)
-        pieces = sum(counts.get(i, 0) for i in range(size)) + 1
-        go_on = min(0.95, max(0.05, 1 - n_words / pieces))
+        share = [0.0 if model.is_control(i) or model.is_unknown(i) else 1.0 / (10 + max(0.0, -model.get_score(i))) for i in range(size)]
+        rank_mass, seen = sum(share), sum(counts.get(i, 0) for i in range(size) if share[i])
+        learned = CORPUS if seen else 0.0
+        weight = [(1 - learned) * p / rank_mass + (learned * counts.get(i, 0) / seen if seen else 0.0) if p else 0.0 for i, p in enumerate(share)]
+        go_on = min(0.95, max(0.05, 1 - n_words / (seen + 1)))
         self.stop = math.log(1 - go_on) - math.log(go_on)
         self.log, self.byte = {}, [0.0] * 256
         for i, w in enumerate(weight):
             if w:
-                value = math.log(w / total) + math.log(go_on)
+                value = math.log(w) + math.log(go_on)
                 if model.is_byte(i):
                     self.byte[int(model.id_to_piece(i)[3:5], 16)] = value
                 else:
                     self.log[model.id_to_piece(i)] = value
         self.heads = {piece[:k] for piece in self.log for k in range(1, len(piece))}
+        self.tables = {}
+        for n in {len(p) for p in self.log}:
+            pieces = [p for p in self.log if len(p) == n]
+            h = self._sums(np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4").reshape(len(pieces), n))[:, n]
+            order = np.argsort(h)
+            self.tables[n] = h[order], np.array([self.log[pieces[k]] for k in order])
+
+    @staticmethod
+    def _sums(points: np.ndarray) -> np.ndarray:
+        """Rolling hashes of the heads of rows of code points."""
+        out = np.zeros((points.shape[0], points.shape[1] + 1), dtype=np.uint64)
+        for k in range(points.shape[1]):
+            out[:, k + 1] = out[:, k] * _BASE + points[:, k] + np.uint64(1)
+        return out
 
     def marginal(self, word: str) -> float:
+        """One word, of any length."""
         text, get, heads = MARK + word, self.log.get, self.heads
         n = len(text)
         terms: list[list[float]] = [[] for _ in range(n + 1)]
@@ -151,6 +169,32 @@ class Lattice:
         top = max(terms[n])
         return top + math.log(sum(math.exp(x - top) for x in terms[n])) + self.stop
 
+    def _of_length(self, texts: list[str], n: int) -> np.ndarray:
+        """The recursion over many words of n characters (the mark included) at once."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").reshape(len(texts), n)
+        sums, values = self._sums(points), {}
+        for size, (keys, logs) in self.tables.items():
+            if size <= n:
+                h = sums[:, size:] - sums[:, : n - size + 1] * np.uint64(pow(int(_BASE), size, 1 << 64))
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                values[size] = np.where(keys[at] == h, logs[at], -np.inf)
+        chars, place = np.unique(points, return_inverse=True)
+        chain = np.array([sum(self.byte[x] for x in chr(c).encode()) for c in chars.tolist()])[place].reshape(points.shape)
+        alpha = np.zeros((n + 1, len(texts)))
+        for e in range(1, n + 1):
+            ways = [alpha[e - 1] + chain[:, e - 1], *(alpha[e - size] + v[:, e - size] for size, v in values.items() if size <= e)]
+            top = np.maximum.reduce(ways)
+            alpha[e] = top + np.log(sum(np.exp(w - top) for w in ways))
+        return alpha[n] + self.stop
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            out[at] = self._of_length([MARK + words[k] for k in at], n + 1) if n <= LONG else [self.marginal(words[k]) for k in at]
+        return out
+
 
 def _marginals(path: str | None, counts: dict[int, int], n_words: int):
     schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("lattice", pa.float64())])
@@ -159,13 +203,13 @@ def _marginals(path: str | None, counts: dict[int, int], n_words: int):
         lattice = None
         for batch in batches:
             lattice = lattice or Lattice(path, counts, n_words)
-            yield S.batch_of(schema, batch.column(0), batch.column(1), [lattice.marginal(w) for w in batch.column(0).to_pylist()])
+            yield S.batch_of(schema, batch.column(0), batch.column(1), lattice.marginals(batch.column(0).to_pylist()))
 
     return run
 
 
 def word_scores(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base and model log10 chances of words with training counts c and log marginals."""
+    """Log10 chances of words with training counts c and log marginals: base, and whole or lattice."""
     base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     if not n:
         return base, lattice / math.log(10)
@@ -175,18 +219,18 @@ def word_scores(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> tuple[np.
 
 
 def _texts_of_block(n: int, v: int, ends: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("word_score", pa.float64())])
     end_base = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
     end_score = math.log10(ends / n) if ends else end_base
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         c, lattice = words["c"].to_numpy(), words["lattice"].to_numpy()
-        base, score = word_scores(c, lattice, n, v)
+        base, whole = word_scores(c, lattice, n, v)
         at = {w.encode(): k for k, w in enumerate(words["word"].to_pylist())}
         out = []
         for text in texts["text"]:
             own = np.fromiter((at[w] for w in _tokens(text.as_py())), dtype=np.int64)
-            out.append((len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), float(base[own].sum()) + end_base, float(score[own].sum()) + end_score, float(lattice[own].sum()) / math.log(10) + end_score))
+            out.append((len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), float(base[own].sum()) + end_base, float(lattice[own].sum()) / math.log(10) + end_score, float(whole[own].sum()) + end_score))
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(x, type=schema.field(i + 2).type) for i, x in enumerate(columns))], schema=schema)
 
@@ -194,9 +238,9 @@ def _texts_of_block(n: int, v: int, ends: int):
 
 
 def lm_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (the
-    words through the lattice alone) for every row of docs; held_out is a boolean Column of docs,
-    and the rows where it is true aren't learned from.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (the
+    lattice marginal) and word_score (whole words beside it) for every row of docs; held_out is a
+    boolean Column of docs, and the rows where it is true aren't learned from.
 
     Words are runs without blank or \\x09-\\x0D, A-Z lowered; null, empty and blank texts are one
     end token. Without training rows every word goes through the lattice and the end has the base
@@ -213,8 +257,8 @@ def lm_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
     # small rows, much work: more tasks than their bytes would make
     values = words.select("word", "c").repartition(1 + distinct // WORDS_A_TASK).mapInArrow(_marginals(path, counts, total), "word string, c long, lattice double")
     with_values = block_words.select("block", "word").join(cut(values, "values"), "word")
-    scored = blocks.groupBy("block").cogroup(with_values.groupBy("block")).applyInArrow(_texts_of_block(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")
-    return scored.select(id_out(), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
+    scored = blocks.groupBy("block").cogroup(with_values.groupBy("block")).applyInArrow(_texts_of_block(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word_score double")
+    return scored.select(id_out(), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
