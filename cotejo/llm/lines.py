@@ -148,9 +148,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     lines = cut(tokens.select(*ALL).distinct(), "lines")
     several = cut(tokens.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token"), "several")
     # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
-    company = cut(tokens.join(several.hint("shuffle_hash"), "token").select(*ALL).distinct(), "company")
+    company = cut(tokens.select("token", "h").join(several.hint("shuffle_hash"), "token").select("h").distinct(), "company")
     drop(tokens, several)
-    sets = cut(_sets(texts, company.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("one")).select("one.*"), size, short), "sets")
+    first = lines.hint("merge").join(company.hint("merge"), "h").groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("one"))
+    sets = cut(_sets(texts, first.select("one.*"), size, short), "sets")
     prefixes = cut(_prefixes(sets, percent), "prefixes")
     several = prefixes.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(prefixes.join(cut(several, "several").hint("shuffle_hash"), "token"), "shared")
@@ -159,12 +160,15 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     pivot = shared.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
     order = Window.partitionBy("at").orderBy(F.desc("c"), "other")
     tried = _pairs(_meet(shared, pivot, percent)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("at", "other")
+    tried = cut(tried, "tried")
     first_gone = cut(_verified(tried, sets, percent), "gone")
     rest = cut(shared.join(first_gone.hint("merge"), "at", "left_anti"), "rest")
     met = _meet(rest, shared.filter(_shorter(percent)), percent).union(_meet(rest.filter(_shorter(percent)), shared, percent))
-    gone = cut(first_gone.union(_verified(_pairs(met).select("at", "other"), sets, percent)).distinct(), "gone")
+    pairs = cut(_pairs(met).select("at", "other"), "pairs")
+    drop(shared, rest, tried)
+    gone = cut(first_gone.union(_verified(pairs, sets, percent)).distinct(), "gone")
+    drop(sets, pairs, first_gone)
 
-    drop(shared, sets, rest, first_gone)
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c"))
     verdict = firsts.join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left").filter("c > 1 or gone")
     removed = lines.hint("merge").join(cut(verdict, "verdict").hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != F.struct(*AT)))

@@ -64,6 +64,51 @@ def test_fingerprints(docs, rows):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_fingerprints_over_again(docs, rows):
+    """Syncmers, sketch and likeness in plain Python, on Spark's hashes of words and of runs of hashes."""
+    texts = by_id(rows)
+    got = {(-(2**63) if r.doc_id is None else r.doc_id): r for r in syncmers.fingerprints(docs).collect()}
+    spark = docs.sparkSession
+    order = sorted(texts, reverse=True)
+    edited = {i: texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[order[(k + 1) % len(order)]][: len(texts[i]) // 2] for k, i in enumerate(order)}
+    every = sorted({w for t in [*texts.values(), *edited.values()] for w in words(t)})
+    of = {r.w: r.h for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = set()
+    for t in [*texts.values(), *edited.values()]:
+        h = [of[w] for w in words(t)]
+        runs |= {tuple(h[k : k + n]) for n in (2, 4) for k in range(len(h) - n + 1)}
+        runs |= {tuple(h)} if 0 < len(h) else set()
+    hashed = {}
+    for n in {len(r) for r in runs}:
+        own = [r for r in runs if len(r) == n]
+        df = spark.createDataFrame([(list(r),) for r in own], "h array<long>")
+        few = F.xxhash64("h")
+        exact = F.xxhash64(*(F.get("h", F.lit(j)) for j in range(n))) if n in (2, 4) else few
+        for r, x in zip(own, df.select(exact.alias("a"), few.alias("b")).collect(), strict=True):
+            hashed[r] = x.a
+            hashed[r, "all"] = x.b
+
+    def sketch(t):
+        h = tuple(of[w] for w in words(t))
+        chosen = set()
+        for k in range(len(h) - 3):
+            inner = [hashed[h[k + j : k + j + 2]] for j in range(3)]
+            if min(inner[0], inner[2]) <= inner[1]:
+                chosen.add(hashed[h[k : k + 4]])
+        return sorted(chosen or ({hashed[h, "all"]} if h else set()))[:64]
+
+    def like(a, b):
+        union = sorted({*a, *b})[:64]
+        return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+    for k, i in enumerate(order):
+        a, b, c = sketch(texts[i]), sketch(edited[i]), sketch(texts[order[(k + 1) % len(order)]])
+        assert (got[i].hashes, got[i].edited_hashes) == (a, b)
+        assert got[i].near_edited == pytest.approx(like(a, b)) and got[i].near_next == pytest.approx(like(a, c))
+    long = [i for i in order if len(words(texts[i])) > 30]
+    assert sum(got[i].near_edited > got[i].near_next for i in long) > 0.5 * len(long)
+
+
 def test_anchors_are_closed_syncmers_in_any_context(spark):
     rng = random.Random(2)
     passage = [f"w{rng.randrange(99)}" for _ in range(40)]
@@ -82,7 +127,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.pack(docs, capacity=64, with_ids=True).collect()
     pieces = defaultdict(list)
     for r in got:
@@ -106,6 +150,35 @@ def test_packing(docs, rows):
         assert at <= 64
 
 
+def test_encoder_equals_the_tokenizers_file():
+    """Random strings of all kinds of characters, with blanks, the added token and parts of it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    kinds = [range(32, 127), range(0, 33), range(0xA0, 0x250), range(0x370, 0x530), range(0x590, 0x700), range(0x900, 0xA00), range(0x2000, 0x2070), range(0x3040, 0x30FF), range(0x4E00, 0x9000), range(0x1F300, 0x1F700), range(0x300, 0x370)]
+    words = ["<|endoftext|>", "<|endof", "text|>", "'s", " 're", "  ", "\n\n", "\r\n", "the", " The", "123", " 4567"]
+
+    def text():
+        parts = [rng.choice(words) if rng.random() < 0.5 else "".join(chr(rng.choice(rng.choice(kinds))) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(12))]
+        return "".join(parts)
+
+    texts = [text() for _ in range(4000)]
+    encode = packing.encoder().encode
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t, allowed_special="all") == e.ids
+
+
+def test_packing_needs_few_sequences(spark):
+    """Every length, ties and repeats, in order of arrival, against the least possible number."""
+    rng = random.Random(11)
+    rows = [(k, " a" * (rng.randrange(1, 90) if k % 3 else 20)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for open_bins in (packing.OPEN_BINS, 200):
+        got = packing.pack(docs, capacity=100, open_bins=open_bins).select("sequence_id", "length").collect()
+        assert len({r.sequence_id for r in got}) <= (1.05 if open_bins > 200 else 1.2) * math.ceil(sum(r.length for r in got) / 100)
+
+
 def test_best_fit_bins():
     rng = random.Random(4)
     lengths = sorted((rng.randrange(1, 100) for _ in range(2000)), reverse=True)
@@ -156,7 +229,18 @@ def test_lm_scores(docs, rows):
         expected[i, out(i), len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
     got = lm_score.lm_scores(docs, held).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
-    assert all(r.score < 0 and r.lattice_score <= r.score + 1e-9 or r.n_known for r in got)
+    # the model over again: counts of the vocabulary's own pieces, and every word by itself
+    segmented = Counter()
+    for w, c in counts.items():
+        for piece in lm_score.vocabulary().encode(w.decode()):
+            segmented[piece] += c
+    lattice, end = lm_score.Lattice(None, segmented, n - ends), math.log10(ends / n)
+    own = {i: w for i, w in tokens}
+    for r in got:
+        marginals = [lattice.marginal(x.decode()) for x in own[r.doc_id]]
+        assert r.score == pytest.approx(sum(marginals) / math.log(10) + end)
+        whole = [math.log10((counts[x] - 0.5) / n + math.exp(m) * 0.5 * v / n) if counts[x] else (m + math.log(0.5 * v / n)) / math.log(10) for x, m in zip(own[r.doc_id], marginals, strict=True)]
+        assert r.word_score == pytest.approx(sum(whole) + end)
 
 
 def test_lattice_sums_over_all_segmentations():
@@ -175,6 +259,9 @@ def test_lattice_sums_over_all_segmentations():
     for word in ("a", "the", "niño", "x9"):
         total = math.log(sum(math.exp(w) for w in every(lm_score.MARK + word))) + lattice.stop
         assert lattice.marginal(word) == pytest.approx(total)
+    rng = random.Random(7)
+    many = ["".join(rng.choice("aetnño中🙂<x0") for _ in range(rng.randrange(1, 60))) for _ in range(400)] + ["information", "the", "niño"]
+    assert lattice.marginals(many).tolist() == pytest.approx([lattice.marginal(w) for w in many])
 
 
 def test_empty_tables(nothing):
