@@ -150,8 +150,9 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
     company = cut(tokens.select("token", "h").join(several.hint("shuffle_hash"), "token").select("h").distinct(), "company")
     drop(tokens, several)
-    first = lines.hint("merge").join(company.hint("merge"), "h").groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("one"))
-    sets = cut(_sets(texts, first.select("one.*"), size, short), "sets")
+    firsts = cut(lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c")), "firsts")
+    asked = firsts.hint("merge").join(company.hint("merge"), "h").select("first.doc_id", "first.line_no")
+    sets = cut(_sets(texts, asked, size, short), "sets")
     prefixes = cut(_prefixes(sets, percent), "prefixes")
     several = prefixes.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(prefixes.join(cut(several, "several").hint("shuffle_hash"), "token"), "shared")
@@ -169,11 +170,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     gone = cut(first_gone.union(_verified(pairs, sets, percent)).distinct(), "gone")
     drop(sets, pairs, first_gone)
 
-    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c"))
     verdict = firsts.join(gone.select(F.col("at").alias("first"), F.lit(True).alias("gone")), "first", "left").filter("c > 1 or gone")
     removed = lines.hint("merge").join(cut(verdict, "verdict").hint("merge"), ["h", "g"]).filter(F.col("gone").isNotNull() | (F.col("first") != F.struct(*AT)))
     out = cut(removed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
-    drop(lines, gone)
+    drop(lines, firsts, gone)
     return out
 
 
