@@ -74,6 +74,11 @@ def strip_edges(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{EDGE_CLASS}]+|[{EDGE_CLASS}]+$", "")
 
 
+def trim(text: Column) -> Column:
+    """Blanks of all kinds at the edges go: tabs, line ends and no-break spaces too."""
+    return F.regexp_replace(text, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
 

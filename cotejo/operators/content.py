@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 SEE_MORE = 210
 #: The main ranges of pictographs (by code point).
 PICTOGRAPHS = r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]"
@@ -12,7 +14,7 @@ PICTOGRAPHS = r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x
 
 def clean_slug(slug: Column) -> Column:
     """PRJ2."""
-    return F.regexp_replace(F.lower(F.trim(slug)), "[^a-z0-9-]", "")
+    return F.regexp_replace(F.lower(tx.trim(slug)), "[^a-z0-9-]", "")
 
 
 def image_kind(kind: Column) -> Column:
@@ -21,14 +23,14 @@ def image_kind(kind: Column) -> Column:
 
 def public_urls(slug: Column, base: str = "https://example.org") -> Column:
     """PRJ1: edition, card and preview addresses; null without a slug."""
-    known = F.trim(F.coalesce(slug, F.lit(""))) != ""
-    root = F.concat(F.lit(f"{base}/t/"), F.trim(slug), F.lit("/"))
+    known = tx.trim(F.coalesce(slug, F.lit(""))) != ""
+    root = F.concat(F.lit(f"{base}/t/"), tx.trim(slug), F.lit("/"))
     return F.when(known, F.struct(root.alias("edicion"), F.concat(root, F.lit("tarjeta.png")).alias("tarjeta"), F.concat(root, F.lit("og.png")).alias("og")))
 
 
 def visible(phrases: Column) -> Column:
     """PRJ3: the strings with visible text; none for null."""
-    return F.filter(F.coalesce(phrases, F.expr("cast(array() as array<string>)")), lambda x: F.length(F.trim(x)) > 0)
+    return F.filter(F.coalesce(phrases, F.expr("cast(array() as array<string>)")), lambda x: F.length(tx.trim(x)) > 0)
 
 
 def phrase_pool(frases: Column, frases_og: Column, parrafo: Column) -> Column:
@@ -59,7 +61,7 @@ def first_unused(pool: Column, used: Column) -> Column:
 
 def strip_emoji(text: Column) -> Column:
     """One leading pictograph goes, with its variation mark and blanks."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{PICTOGRAPHS}\x{{FE0F}}?\s*", ""))
+    return tx.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{PICTOGRAPHS}\x{{FE0F}}?\s*", ""))
 
 
 def post_text(hook: Column, phrase: Column, closing: Column, link: Column | None = None) -> Column:
@@ -90,4 +92,4 @@ def number_label(number: Column) -> Column:
 
 def link_parts(url: Column) -> Column:
     """(email, token) of a link's query string."""
-    return F.struct(*(F.trim(F.coalesce(F.try_url_decode(F.parse_url(url, F.lit("QUERY"), F.lit(key))), F.lit(""))).alias(key) for key in ("email", "token")))
+    return F.struct(*(F.coalesce(F.try_url_decode(F.parse_url(url, F.lit("QUERY"), F.lit(key))), F.lit("")).alias(key) for key in ("email", "token")))

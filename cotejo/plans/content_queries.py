@@ -15,8 +15,11 @@ from .search_queries import _escape
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as lines of a file (line 1 would be the header)."""
-    return i.titles(spark, sf_dir).select((F.col("doc_id") + 2).alias("line_no"), F.col("titulo").alias("line"))
+    """First lines of documents as lines of a file (line 1 would be the header), some with a tab
+    before and a carriage return behind, some of a no-break space or a carriage return alone."""
+    k, line = F.col("doc_id"), F.col("titulo")
+    edited = F.when(k % 50 == 2, "\u00a0").when(k % 50 == 3, "\r").when(k % 5 == 1, F.concat(F.lit("\t"), line, F.lit("\u00a0\r"))).otherwise(line)
+    return i.titles(spark, sf_dir).select((k + 2).alias("line_no"), edited.alias("line"))
 
 
 def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,8 @@ def editions_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def editions_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.flat_editions(cat.editions(_editions(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("total"))
+    documents = _editions(spark, sf_dir)
+    return cat.edition_totals(documents, cat.editions(documents))
 
 
 def phrase_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,15 +141,16 @@ def request_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (catalog_lines, csv_line_check, csv_first_failure, required_fields, payload_codec, editions_flat, editions_total, phrase_pool, phrase_choice, see_more_split, strip_emoji, image_slugs, optout_links, confirmed_optouts, request_delta)}
 
-_LINES = f"{i.TITLES}, ln AS (SELECT doc_id + 2 AS line_no, titulo AS line FROM titles)"
-_FAILS = f"{_LINES}, f AS (SELECT line_no, CASE WHEN length(line) - length(replace(line, ',', '')) <> 3 THEN 'expected 3 commas, got ' || (length(line) - length(replace(line, ',', ''))) WHEN instr(line, '\"') > 0 THEN 'unescaped double quote' END AS reason FROM ln WHERE trim(line) <> '')"
+_LINES = f"""{i.TITLES}, ln AS (SELECT doc_id + 2 AS line_no,
+  CASE WHEN doc_id % 50 = 2 THEN chr(160) WHEN doc_id % 50 = 3 THEN chr(13) WHEN doc_id % 5 = 1 THEN chr(9) || titulo || chr(160) || chr(13) ELSE titulo END AS line FROM titles)"""
+_FAILS = f"{_LINES}, f AS (SELECT line_no, CASE WHEN length(line) - length(replace(line, ',', '')) <> 3 THEN 'expected 3 commas, got ' || (length(line) - length(replace(line, ',', ''))) WHEN instr(line, '\"') > 0 THEN 'unescaped double quote' END AS reason FROM ln WHERE {dk.trim('line')} <> '')"
 _SAN = "replace(regexp_replace(translate(nfc_normalize(coalesce({}, '')), " + dk.quoted(tx.PLAIN_QUOTES + tx.PLAIN_DASHES + tx.PLAIN_SPACES + tx.DROPPED_QUOTES) + ", " + dk.quoted("'" * len(tx.PLAIN_QUOTES) + "-" * len(tx.PLAIN_DASHES) + " " * len(tx.PLAIN_SPACES)) + "), '[\\x00-\\x1F\\x7F]', '', 'g'), ',', ' ')"
-_ED = """ed AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, turn, role, text, string_split(text, '. ') AS s FROM conversations),
-e AS (SELECT *, CASE WHEN turn % 5 <> 3 THEN trim(' ' || text[1:20]) ELSE '' END AS titulo, trim(role) AS autor, CASE WHEN turn % 3 <> 2 THEN turn::DOUBLE END AS num, role || '-' || turn AS slug,
-  list_filter(s[1:3], lambda x: trim(x) <> '') AS fr, list_filter(s[2:3], lambda x: trim(x) <> '') AS og, trim(s[1][1:40]) AS pa FROM ed),
-pool AS (SELECT doc_id, slug, list_transform(fr, lambda x, k: {'f': x, 'tag': 'frase ' || k}) || list_transform(og, lambda x, k: {'f': x, 'tag': 'og ' || k}) || (CASE WHEN pa <> '' THEN [{'f': pa, 'tag': 'párrafo'}] ELSE [] END) AS p FROM e WHERE pos = 0)"""
+_ED = f"""ed AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, turn, role, text, string_split(text, '. ') AS s FROM conversations),
+e AS (SELECT *, CASE WHEN turn % 5 <> 3 THEN {dk.trim("' ' || text[1:20]")} ELSE '' END AS titulo, {dk.trim('role')} AS autor, CASE WHEN turn % 3 <> 2 THEN turn::DOUBLE END AS num, role || '-' || turn AS slug,
+  list_filter(s[1:3], lambda x: {dk.trim('x')} <> '') AS fr, list_filter(s[2:3], lambda x: {dk.trim('x')} <> '') AS og, {dk.trim('s[1][1:40]')} AS pa FROM ed),
+pool AS (SELECT doc_id, slug, list_transform(fr, lambda x, k: {{'f': x, 'tag': 'frase ' || k}}) || list_transform(og, lambda x, k: {{'f': x, 'tag': 'og ' || k}}) || (CASE WHEN pa <> '' THEN [{{'f': pa, 'tag': 'párrafo'}}] ELSE [] END) AS p FROM e WHERE pos = 0)"""
 _PICT = content.PICTOGRAPHS
-_STRIP = f"trim(regexp_replace(%s, '^{_PICT}\\x{{FE0F}}?\\s*', ''))"
+_STRIP = dk.trim(f"regexp_replace(%s, '^{_PICT}\\x{{FE0F}}?\\s*', '')")
 
 
 def _of(values: tuple, n: int, div: int = 1) -> str:
@@ -185,19 +190,19 @@ SELECT request_id, error, CASE WHEN error IS NULL THEN array_to_string(ins, '; '
 
 
 ORACLE_SQL = {
-    "catalog_lines": f"WITH {_LINES}, p AS (SELECT line_no, trim(string_split(line, ',')[1]) AS titulo, trim(coalesce(string_split(line, ',')[2], '')) AS autor FROM ln WHERE trim(line) <> '') SELECT *, titulo <> '' AND autor <> '' AS compared FROM p",
+    "catalog_lines": f"WITH {_LINES}, p AS (SELECT line_no, {dk.trim("string_split(line, ',')[1]")} AS titulo, {dk.trim("coalesce(string_split(line, ',')[2], '')")} AS autor FROM ln WHERE {dk.trim('line')} <> '') SELECT *, titulo <> '' AND autor <> '' AS compared FROM p",
     "csv_line_check": f"WITH {_FAILS} SELECT * FROM f WHERE reason IS NOT NULL",
     "csv_first_failure": f"WITH {_FAILS} SELECT min(line_no) AS line_no, arg_min(reason, line_no) AS reason, count(*) AS n_failures FROM f WHERE reason IS NOT NULL",
     "required_fields": f"WITH {i.TITLES}, s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE titulo END AS t, CASE WHEN doc_id % 7 = 0 THEN '“”' ELSE autor END AS a, source FROM titles), c AS (SELECT doc_id, trim(t) = '' OR trim(a) = '' AS blank, ({dk.collapse(_SAN.format('t'))})[1:200] AS t, ({dk.collapse(_SAN.format('a'))})[1:200] AS a, ({dk.collapse(_SAN.format('source'))})[1:500] AS n FROM s), r AS (SELECT *, CASE WHEN blank THEN 'required' WHEN t = '' OR a = '' THEN 'empty after cleaning' END AS reason FROM c) SELECT doc_id, reason, CASE WHEN reason IS NULL THEN t || ',' || a || ',,' || n END AS line FROM r",
     "payload_codec": "SELECT doc_id, to_base64(encode(text)) AS payload, true AS same FROM documents",
-    "editions_flat": f"WITH {_ED} SELECT doc_id, pos, titulo, autor, num, CASE WHEN coalesce(num, 0) <> 0 THEN printf('#%03d · ', num::BIGINT) ELSE '' END AS label FROM e WHERE titulo <> '' AND autor <> ''",
-    "editions_total": f"WITH {_ED} SELECT doc_id, count(*) AS total FROM e WHERE titulo <> '' AND autor <> '' GROUP BY doc_id",
+    "editions_flat": f"WITH {_ED} SELECT doc_id, pos, titulo, autor, num, CASE WHEN coalesce(num, 0) <> 0 THEN printf('#%03d · ', num::BIGINT) ELSE '' END AS label FROM e WHERE turn % 5 <> 3",
+    "editions_total": f"WITH {_ED} SELECT doc_id, count(*) FILTER (WHERE turn % 5 <> 3) AS total FROM e GROUP BY doc_id",
     "phrase_pool": f"WITH {_ED}, u AS (SELECT doc_id, unnest(p) AS x, CAST(unnest(range(0, len(p))) AS INTEGER) AS pos FROM pool) SELECT doc_id, pos, x.tag AS tag, x.f AS phrase FROM u",
     "phrase_choice": f"WITH {_ED}, c AS (SELECT doc_id, slug, p, p[1].f AS first, coalesce(list_filter(p, lambda x: regexp_matches(x.f, '[?¿]'))[1].f, p[-1].f) AS closing FROM pool) SELECT doc_id, first, closing, list_filter(p, lambda x: x.f <> first AND x.f <> closing)[1].f AS unused, concat_ws(chr(10) || chr(10), {_STRIP % 'first'}, {_STRIP % 'closing'}) || chr(10) || chr(10) || 'https://example.org/t/' || slug || '/' AS post, 'https://example.org/t/' || slug || '/og.png' AS og FROM c",
     "see_more_split": "WITH h AS (SELECT conv_id, turn, text, instr(reverse(text[1:211]), ' ') AS b, length(text[1:211]) AS n FROM conversations), c AS (SELECT *, CASE WHEN b > 0 THEN n - b ELSE -1 END AS k FROM h), d AS (SELECT *, CASE WHEN k < 126 THEN 210 ELSE k END AS cut FROM c) SELECT conv_id, turn, CASE WHEN length(text) > 210 THEN text[1:cut] ELSE text END AS visible, CASE WHEN length(text) > 210 THEN length(text) - cut ELSE 0 END AS n_hidden, length(text) > 210 AS over FROM d",
     "strip_emoji": f"WITH {i.TITLES}, t AS (SELECT doc_id, (['✨ ', '⭐️  ', '🌙', ''])[doc_id % 4 + 1] || coalesce(titulo, '') AS x FROM titles) SELECT doc_id, {_STRIP % 'x'} AS plain FROM t",
     "image_slugs": f"WITH {i.PAGE_TITLES} SELECT page_id, regexp_replace(lower(trim(' ' || host || '_Aé')), '[^a-z0-9-]', '', 'g') AS slug, CASE WHEN page_id % 2 = 0 THEN 'og' ELSE 'tarjeta' END AS kind, {_escape('url')} AS url FROM page_titles",
-    "optout_links": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id || '@example.org' END AS email, 't' || event_id AS token FROM events",
+    "optout_links": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id || '@example.org ' END AS email, 't' || event_id AS token FROM events",
     "confirmed_optouts": "SELECT 'u' || user_id AS email, arg_min('t' || event_id, ts) AS token FROM events WHERE event_type = 'signup' GROUP BY user_id",
     "request_delta": _request_sql(),
 }

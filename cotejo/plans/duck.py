@@ -23,6 +23,10 @@ def strip_edges(x: str) -> str:
     return f"regexp_replace({x}, {_re(f'^[{tx.EDGE_CLASS}]+|[{tx.EDGE_CLASS}]+$')}, '', 'g')"
 
 
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, {_re(f'^[{tx.SPACE_CLASS}]+|[{tx.SPACE_CLASS}]+$')}, '', 'g')"
+
+
 def collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, {_re(f'[{tx.SPACE_CLASS}]+')}, ' ', 'g'))"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 COLUMNS = ("titulo", "autor", "portada", "tagline")
 
 
@@ -18,8 +20,8 @@ def catalog_rows(lines: DataFrame) -> DataFrame:
     """SRC1: lines(line_no, line) to line_no, titulo, autor and compared. The header and blank lines
     go; rows without a title and an author count, and aren't compared."""
     parts = F.split("line", ",")
-    rows = lines.filter((F.col("line_no") > 1) & (F.trim("line") != ""))
-    rows = rows.select("line_no", F.trim(F.get(parts, 0)).alias("titulo"), F.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias("autor"))
+    rows = lines.filter((F.col("line_no") > 1) & (tx.trim(F.col("line")) != ""))
+    rows = rows.select("line_no", tx.trim(F.get(parts, 0)).alias("titulo"), tx.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias("autor"))
     return rows.withColumn("compared", (F.col("titulo") != "") & (F.col("autor") != ""))
 
 
@@ -34,10 +36,16 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def check_lines(lines: DataFrame, columns: int = len(COLUMNS)) -> DataFrame:
-    """SRC3: line_no and reason of the lines that a strict reader refuses."""
+    """SRC3: line_no and reason of the lines that a strict reader refuses. The header, line 1, says
+    how many commas a line has; without one it is for `columns`. A file of fewer than two lines
+    that aren't blank is too short, which is said of its first line."""
     commas = F.regexp_count("line", F.lit(","))
-    reason = F.when(commas != columns - 1, F.format_string("expected %d commas, got %d", F.lit(columns - 1), commas)).when(F.instr("line", '"') > 0, "unescaped double quote")
-    return lines.filter(F.trim("line") != "").select("line_no", reason.alias("reason")).filter("reason is not null")
+    head = lines.agg(F.max(F.when(F.col("line_no") == 1, commas)).alias("header"), F.count(F.when(tx.trim(F.col("line")) != "", 1)).alias("n_lines"), F.min("line_no").alias("first"))
+    rows = lines.crossJoin(F.broadcast(head))  # one row
+    width = F.coalesce("header", F.lit(columns - 1))
+    reason = F.when(commas != width, F.format_string("expected %d commas, got %d", width, commas)).when(F.instr("line", '"') > 0, "unescaped double quote")
+    reason = F.when((F.col("n_lines") < 2) & (F.col("line_no") == F.col("first")), "file too short").when((F.col("line_no") > 1) & (tx.trim(F.col("line")) != ""), reason)
+    return rows.select("line_no", reason.alias("reason")).filter("reason is not null")
 
 
 def first_failure(failures: DataFrame) -> DataFrame:
@@ -64,12 +72,19 @@ def editions(documents: DataFrame) -> DataFrame:
     rows = parsed.select("doc_id", "v", F.posexplode("d.libros").alias("pos", "b"))
     kind = F.schema_of_variant(F.try_variant_get("v", F.concat(F.lit("$.libros["), F.col("pos").cast("string"), F.lit("]._edicion_numero")), "variant"))
     number = F.when(kind.isin("BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.col("b._edicion_numero").try_cast("double"))
-    return rows.select("doc_id", "pos", F.trim(F.coalesce("b.titulo", F.lit(""))).alias("titulo"), F.trim(F.coalesce("b.autor", F.lit(""))).alias("autor"), number.alias("num"), F.col("b._slug").alias("slug"), "b.frases", "b.frases_og", F.trim(F.coalesce("b.tarjeta.parrafoTop", F.lit(""))).alias("parrafo"))
+    listed = (F.coalesce("b.titulo", F.lit("")) != "") & (F.coalesce("b.autor", F.lit("")) != "")
+    return rows.select("doc_id", "pos", listed.alias("listed"), tx.trim(F.coalesce("b.titulo", F.lit(""))).alias("titulo"), tx.trim(F.coalesce("b.autor", F.lit(""))).alias("autor"), number.alias("num"), F.col("b._slug").alias("slug"), "b.frases", "b.frases_og", tx.trim(F.coalesce("b.tarjeta.parrafoTop", F.lit(""))).alias("parrafo"))
 
 
 def flat_editions(editions_: DataFrame) -> DataFrame:
-    """SRC7: the editions with a title and an author."""
-    return editions_.filter("titulo <> '' and autor <> ''").select("doc_id", "pos", "titulo", "autor", "num")
+    """SRC7: the editions with a title and an author; one of blanks counts, and is empty then."""
+    return editions_.filter("listed").select("doc_id", "pos", "titulo", "autor", "num")
+
+
+def edition_totals(documents: DataFrame, editions_: DataFrame) -> DataFrame:
+    """AG7: the number of listed editions of every document, 0 where there is none."""
+    counts = flat_editions(editions_).groupBy("doc_id").agg(F.count("*").alias("total"))
+    return documents.select("doc_id").distinct().join(counts, "doc_id", "left").select("doc_id", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def latest(editions_: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 APPLE = "array<struct<trackName: string, artistName: string, releaseDate: string>>"
 GOOGLE = "array<struct<volumeInfo: struct<title: string, authors: array<string>, publishedDate: string>>>"
 OPENLIBRARY = "array<struct<title: string, author_name: array<string>, first_publish_year: int>>"
@@ -19,7 +21,7 @@ def _rows(raw: DataFrame, schema: str, source: str, titulo: str, autor: Column,
     items = raw.select("raw_id", F.posexplode(F.from_json("content", schema)).alias("ord", "r"))
     out = items.select("raw_id", F.lit(source).alias("source"), "ord", F.col(titulo).alias("titulo"), autor.alias("autor"), year.alias("year"))
     known = (F.coalesce("titulo", F.lit("")) != "") & (F.coalesce("autor", F.lit("")) != "")
-    return out.filter(known).withColumn("titulo", F.trim("titulo")).withColumn("autor", F.trim("autor"))
+    return out.filter(known).withColumn("titulo", tx.trim(F.col("titulo"))).withColumn("autor", tx.trim(F.col("autor")))
 
 
 def apple(raw: DataFrame) -> DataFrame:
@@ -41,6 +43,6 @@ def answers(raw: DataFrame) -> DataFrame:
     parsed = raw.select("sub_id", a.alias("a"))
 
     def text(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(f"a.{name}"), F.lit(""))).alias(name)
+        return tx.trim(F.coalesce(F.col(f"a.{name}"), F.lit(""))).alias(name)
 
     return parsed.select("sub_id", F.coalesce("a.reconocido", F.lit(False)).alias("reconocido"), text("titulo_canonico"), text("autor_canonico"), F.col("a.year").alias("year"), F.coalesce("a.confianza", F.lit(0.0)).alias("confianza"), text("razon"))

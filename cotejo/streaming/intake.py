@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators import dedup
 from ..operators.requests import required_fields
@@ -12,20 +13,38 @@ from ..operators.requests import required_fields
 CATALOG = "line_no long, titulo string, autor string, nota string, batch_id long"
 
 
+def in_turn(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The sub_id of the rows that come through when taken one by one: a row is refused if an
+    earlier one that came through blocks it. blocks(sub_id, earlier). Each round settles the rows
+    whose earlier ones are all settled, so there are as many rounds as a chain of blocks is long."""
+    settled = rows.join(blocks, "sub_id", "left_anti").select("sub_id", F.lit(True).alias("accepted")).checkpoint()
+    open_ = blocks.checkpoint()
+    while not open_.isEmpty():
+        known = open_.join(settled.withColumnRenamed("sub_id", "earlier"), "earlier", "left")
+        state = known.groupBy("sub_id").agg(F.bool_or(F.coalesce("accepted", F.lit(False))).alias("blocked"), F.bool_or(F.col("accepted").isNull()).alias("waits"))
+        new = state.filter("blocked or not waits").select("sub_id", (~F.col("blocked")).alias("accepted"))
+        settled = settled.unionByName(new).checkpoint()
+        open_ = open_.join(settled, "sub_id", "left_anti").checkpoint()
+    return settled.filter("accepted").select("sub_id")
+
+
 def accept_batch(spark: SparkSession, batch: DataFrame, batch_id: int, catalog_path: str) -> None:
     """One micro-batch of submissions(sub_id, titulo, autor, nota, confirm): what the catalogue and
-    the earlier rows of the batch let pass is appended under the batch's number. A batch that is
-    run again replaces its own rows, and sees the catalogue without them."""
+    the earlier accepted rows of the batch, by sub_id, let pass is appended under the batch's number,
+    on the lines after the catalogue's last. A batch that is run again replaces its own rows, and
+    sees the catalogue without them. Needs a checkpoint folder; sub_id is unique in a batch."""
     held = spark.read.schema(CATALOG).parquet(catalog_path).filter(F.col("batch_id") != batch_id)
     clean = required_fields(batch).filter("reason is null")
     known = held.select("line_no", "titulo", "autor")
     last = held.agg(F.coalesce(F.max("line_no"), F.lit(1))).first()[0]
     reports = dedup.intake_reports(clean, dedup.similar_rows(clean, known)).filter("decision = 'accept'").select("sub_id")
-    passed = clean.join(reports, "sub_id", "left_semi")
+    passed = clean.join(reports, "sub_id", "left_semi").checkpoint()
     inside = dedup.similar_rows(passed.select("sub_id", "titulo", "autor"), passed.select(F.col("sub_id").alias("line_no"), "titulo", "autor")).filter("line_no < sub_id")
-    blocked = inside.join(passed.select("sub_id", F.coalesce("confirm", F.lit(False)).alias("confirm")), "sub_id").filter((F.col("tier") == "exact") | ~F.col("confirm")).select("sub_id").distinct()
-    new = passed.join(blocked, "sub_id", "left_anti")
-    rows = new.select((F.col("sub_id") + last + 1).alias("line_no"), "titulo", "autor", "nota")
+    confirmed = passed.select("sub_id", F.coalesce("confirm", F.lit(False)).alias("confirm"))
+    blocks = inside.join(confirmed, "sub_id").filter((F.col("tier") == "exact") | ~F.col("confirm")).select("sub_id", F.col("line_no").alias("earlier")).distinct()
+    new = passed.join(in_turn(passed, blocks), "sub_id", "left_semi")
+    place = F.row_number().over(Window.orderBy("sub_id"))  # one micro-batch at most
+    rows = new.select((place + last).cast("long").alias("line_no"), "titulo", "autor", "nota")
     rows.write.mode("overwrite").parquet(f"{catalog_path}/batch_id={batch_id}")
 
 

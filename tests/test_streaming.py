@@ -35,6 +35,21 @@ def test_intake_stream_equals_one_batch_and_replays(spark, tmp_path):
     assert _titles(spark, one) == ["Dune", "Rebelión en la granja", "Sapiens"]
 
 
+def test_rows_are_taken_in_turn(spark):
+    """2 is like 1 and goes; 3 is like 2 only and stays; 5 waits for 4, which is like 3 and goes."""
+    rows = spark.createDataFrame([(k,) for k in range(1, 7)], "sub_id long")
+    blocks = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (6, 1), (6, 4)], "sub_id long, earlier long")
+    assert sorted(r.sub_id for r in intake.in_turn(rows, blocks).collect()) == [1, 3, 5]
+    assert sorted(r.sub_id for r in intake.in_turn(rows, blocks.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_blanks_of_all_kinds(spark):
+    lines = spark.createDataFrame([(1, "titulo,autor\r"), (2, "\tDune\u00a0,Herbert\r"), (3, "\r"), (4, "\u00a0,x"), (5, "a,b,c")], "line_no long, line string")
+    assert [(r.line_no, r.titulo, r.autor, r.compared) for r in cat.catalog_rows(lines).orderBy("line_no").collect()] == [(2, "Dune", "Herbert", True), (4, "", "x", False), (5, "a", "b", True)]
+    assert [tuple(r) for r in cat.check_lines(lines).collect()] == [(5, "expected 1 commas, got 2")]
+    assert [tuple(r) for r in cat.check_lines(lines.limit(1)).collect()] == [(1, "file too short")]
+
+
 def test_optouts_stream_equals_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(t, "a", "t1", "confirm"), (t + dt.timedelta(hours=1), "a", "t2", "confirm"), (t, "b", "", "confirm"), (t, "c", "t3", "stay"), (t, "d", "t4", "confirm"), (t, None, "t5", "confirm")]
