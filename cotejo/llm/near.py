@@ -6,9 +6,11 @@ that a pair at the threshold shares none with probability 1e-6 at most (4e-7 and
 Not all pairs of a bucket are made. First the member with most company is compared with the
 others, which links a group of copies in one step. Buckets whose members are then in different
 components join up to clusters, and there each node outside the cluster's largest component (a
-query) meets all nodes of the cluster, in blocks of at most QUERIES queries; a block keeps its
-own union of components, so that a query looks only for components it isn't linked with, nearest
-signatures first, and puts out the links found, not the pairs compared.
+query) meets all nodes of the cluster (its targets), in blocks of about QUERIES by TARGETS nodes, so
+that no task holds a cluster. Signatures meet first, and a block puts out the nodes that go on, not
+the pairs; only those bring their texts to the block. There it keeps its own union of components,
+so that a query looks only for components it isn't linked with, nearest signatures first, and puts
+out the links found.
 
 A proposed pair goes through its signature in batches of 16. With m of n values equal and a flat
 prior, the chance that the similarity reaches the threshold is P(Binomial(n + 1, t) <= m); the
@@ -31,8 +33,8 @@ from .common import cut, documents, id_in, id_out
 from .components import components
 
 VALUES, BATCH, MISSED = 128, 16, 1e-6
-#: Queries of one block, and groups that small clusters are dealt to.
-QUERIES, SMALL_GROUPS = 256, 1 << 12
+#: Queries and targets of one block, about, and groups that small clusters are dealt to.
+QUERIES, TARGETS, SMALL_GROUPS = 256, 2048, 1 << 12
 _A = S.mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = S.mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))
 
@@ -160,22 +162,57 @@ def _exact(size: int, percent: int):
     return run
 
 
+def _met(sig: np.ndarray, sigs: np.ndarray, needs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the signatures that go on against sig, and how many values they have equal."""
+    alive, matches = np.arange(len(sigs)), np.zeros(len(sigs), dtype=np.int64)
+    for n, least in needs.items():
+        cols = slice(n - BATCH, n)
+        matches = matches + (sigs[alive, cols] == sig[cols]).sum(axis=1)
+        keep = matches >= least
+        alive, matches = alive[keep], matches[keep]
+    return alive, matches
+
+
+def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of queries and of targets of each cluster in a group."""
+    cluster, query = table["cluster"].to_numpy(), table["query"].to_numpy()
+    order = np.argsort(cluster, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        yield rows[query[rows]], rows[~query[rows]]
+
+
+def _in_play(percent: int, miss: float):
+    """The rows of a group that go on, by their signatures, with a row of another component."""
+    needs = least_matches(percent / 100, miss)
+
+    def run(table: pa.Table) -> pa.Table:
+        sigs, root, held = _matrix(table["sig"]), table["root"].to_numpy(), np.zeros(len(table), dtype=bool)
+        for queries, targets in _sides(table):
+            theirs = sigs[targets]
+            for q in queries:
+                others = targets[_met(sigs[q], theirs, needs)[0]]
+                others = others[root[others] != root[q]]
+                held[others] = True
+                held[q] = len(others) > 0
+        return table.filter(pa.array(held))
+
+    return run
+
+
 def _cluster_links(size: int, percent: int, miss: float):
-    """Links of the queries of each cluster in a group with nodes of other components."""
+    """Links of the queries of each cluster in a group with targets of other components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     needs = least_matches(percent / 100, miss)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")]).combine_chunks()
-        cluster, node, root, query = (table[c].to_numpy() for c in ("cluster", "node", "root", "query"))
-        texts, found = table["text"], []
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(cluster)) + 1, [len(cluster)]])
-        for low, high in zip(edge[:-1], edge[1:], strict=True):
-            sigs, sets, parent = _matrix(table["sig"][low:high]), {}, {}
-
-            def shingles(k: int, low=low, sets=sets) -> np.ndarray:
+        sigs, texts, found = _matrix(table["sig"]), table["text"], []
+        node, root = table["node"].to_numpy(), table["root"].to_numpy()
+        for queries, targets in _sides(table):
+            theirs, sets, parent = sigs[targets], {}, {}
+
+            def shingles(k: int, sets=sets) -> np.ndarray:
                 if k not in sets:
-                    data = np.frombuffer((texts[low + k].as_py() or "").encode(), dtype=np.uint8)
+                    data = np.frombuffer((texts[int(k)].as_py() or "").encode(), dtype=np.uint8)
                     sets[k] = shingle_rows(data, np.array([0, len(data)]), size)[0]
                 return sets[k]
 
@@ -184,38 +221,40 @@ def _cluster_links(size: int, percent: int, miss: float):
                     r = parent[r]
                 return r
 
-            for q in np.flatnonzero(query[low:high]):
-                alive, matches = np.arange(high - low), np.zeros(high - low, dtype=np.int64)
-                for n, least in needs.items():
-                    cols = slice(n - BATCH, n)
-                    matches = matches + (sigs[alive, cols] == sigs[q, cols]).sum(axis=1)
-                    keep = matches >= least
-                    alive, matches = alive[keep], matches[keep]
-                for k in alive[np.argsort(-matches, kind="stable")]:
-                    a, b = find(root[low + q]), find(root[low + k])
+            for q in queries:
+                alive, matches = _met(sigs[q], theirs, needs)
+                for k in targets[alive[np.argsort(-matches, kind="stable")]]:
+                    a, b = find(root[q]), find(root[k])
                     if a == b:
                         continue
                     x, y = shingles(q), shingles(k)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         parent[max(a, b)] = min(a, b)
-                        found.append((node[low + q], node[low + k]))
+                        found.append((node[q], node[k]))
         return pa.table([[x for x, _ in found], [y for _, y in found]], schema=schema)
 
     return run
 
 
 def _blocks(state: DataFrame) -> DataFrame:
-    """state(node, root, cluster) with its queries, dealt: task_key, and whether the node is a query
-    there. Small clusters share groups; of large ones every block has all nodes."""
+    """state(node, root, cluster) dealt to blocks: task_key, and whether the row is a query there or a
+    target. Small clusters share groups; a large one is a grid of query blocks and target blocks."""
     parts = state.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"))
-    main = main.select("cluster", "size", F.col("most.root").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / QUERIES).alias("blocks"))
-    rows = state.join(main, "cluster").withColumn("own", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("blocks"))))
     small = F.col("size") <= QUERIES
-    dealt = rows.select("*", F.explode(F.when(small, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("block"))
-    key = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(SMALL_GROUPS))).otherwise(F.xxhash64("cluster", "block").bitwiseOR(F.lit(SMALL_GROUPS)))
-    return dealt.select("node", "root", "cluster", key.alias("task_key"), F.when(small, F.col("own").isNotNull()).otherwise(F.coalesce(F.col("own") == F.col("block"), F.lit(False))).alias("query"))
+    blocks = [F.when(small, 1).otherwise(F.ceil(n / per)).cast("long") for n, per in ((F.col("size") - F.col("most.n"), QUERIES), (F.col("size"), TARGETS))]
+    main = main.select("cluster", small.alias("small"), F.col("most.root").alias("main"), blocks[0].alias("i_end"), blocks[1].alias("j_end"))
+    rows = state.join(main, "cluster")
+
+    def dealt(rows: DataFrame, own: str, others: str, query: bool) -> DataFrame:
+        own_block = F.pmod(F.xxhash64("node", F.lit(own)), F.col(f"{own}_end")).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{others}_end") - 1)).alias(others)
+        key = F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(SMALL_GROUPS))).otherwise(F.xxhash64("cluster", "i", "j").bitwiseOR(F.lit(SMALL_GROUPS)))
+        return rows.select("*", own_block, every).select(key.alias("task_key"), "cluster", "node", "root", F.lit(query).alias("query"))
+
+    # a cluster of one component has no queries, and needs no targets
+    return dealt(rows.filter("root != main"), "i", "j", True).union(dealt(rows.filter("i_end > 0"), "j", "i", False))
 
 
 def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float = 1e-5) -> tuple[DataFrame, DataFrame]:
@@ -246,8 +285,9 @@ def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float =
     state = cut(state.join(several, "band"), "open")
     clusters = components(state.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     state = state.select("node", "root").distinct().join(clusters.toDF("node", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    dealt = _blocks(cut(state, "clusters")).join(sigs, "node").join(bodies, "node")
-    more = dealt.groupBy("task_key").applyInArrow(_cluster_links(size, percent, miss), "a long, b long")
+    dealt = _blocks(cut(state, "clusters")).join(sigs, "node").select("task_key", "cluster", "node", "root", "query", "sig")
+    alive = cut(dealt.groupBy("task_key").applyInArrow(_in_play(percent, miss), dealt.schema), "in_play")
+    more = alive.join(bodies, "node").groupBy("task_key").applyInArrow(_cluster_links(size, percent, miss), "a long, b long")
     roots = components(cut(more, "links").union(roots.toDF("a", "b")))
     return base.join(nodes.select("key", "node"), "key", "left").select("doc_id", "n_shingles", "node"), roots
 

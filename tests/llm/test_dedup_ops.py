@@ -114,8 +114,12 @@ def test_near_dedup(docs, rows):
         assert (r.n_shingles, null_id(r.component_id), r.kept) == (len(sets[i]), root[i], root[i] == i)
 
 
-def test_near_dedup_of_a_hot_group(spark):
-    """Many near copies at all distances from a base: chains, stragglers, several components."""
+@pytest.mark.parametrize(("queries", "targets"), [(near.QUERIES, near.TARGETS), (8, 32)])
+def test_near_dedup_of_a_hot_group(spark, monkeypatch, queries, targets):
+    """Many near copies at all distances from a base: chains, stragglers, several components; also
+    where a cluster is a grid of many small blocks."""
+    monkeypatch.setattr(near, "QUERIES", queries)
+    monkeypatch.setattr(near, "TARGETS", targets)
     rng = random.Random(9)
     base = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(150)]
     rows = []
