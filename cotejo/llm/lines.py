@@ -56,7 +56,8 @@ def _prefix_size(n: Column, percent: int) -> Column:
 
 def _first_prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> DataFrame:
     """ALL and token for each token of each line's prefix in the order of first words. The prefix holds
-    as many first words as it needs tokens were all windows different, so never too few."""
+    as many first words as it needs tokens were all windows different, so never too few. Rows of a
+    line's least first word have its place and g, the others h alone."""
     # outer explodes and null-safe tests: else the optimizer copies the arrays' expressions into filters below
     lines = texts.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     hashes = F.transform(_words(F.col("line"), short), lambda w: F.xxhash64(w)).alias("w")
@@ -66,11 +67,12 @@ def _first_prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> D
     starts = F.slice("w", F.lit(1), F.when(few, 1).otherwise(F.greatest(n - size + 1, F.lit(0))))
     rows = rows.withColumn("first_words", F.sort_array(F.array_distinct(starts)))
     last = F.get("first_words", F.least(F.size("first_words"), _prefix_size(n - size + 1, percent)) - 1).alias("last")
-    rows = rows.select(*ALL, "w", last, F.posexplode_outer(starts).alias("i", "own")).filter(F.coalesce(F.col("own") <= F.col("last"), few))
+    rows = rows.select(*ALL, "w", F.get("first_words", F.lit(0)).alias("lead"), last, F.posexplode_outer(starts).alias("i", "own")).filter(F.coalesce(F.col("own") <= F.col("last"), few))
     token = _shingle(F.col("w"), F.col("i"), size)
     if short:
         token = F.when(few, F.xxhash64(F.col("w"), F.lit(size))).otherwise(token)
-    return rows.select(*ALL, token.alias("token"))
+    placed = [c if c == "h" else F.when(F.col("own") == F.col("lead"), F.col(c)).alias(c) for c in ALL]
+    return rows.select(*placed, token.alias("token"))
 
 
 def _sets(texts: DataFrame, company: DataFrame, size: int, short: bool) -> DataFrame:
@@ -145,7 +147,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     columns are ignored; an empty table gives an empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     tokens = cut(_first_prefixes(texts, percent, size, short), "tokens")
-    lines = cut(tokens.select(*ALL).distinct(), "lines")
+    # a line may be there more than once, as rows may repeat a document
+    lines = cut(tokens.select(*ALL).filter("doc_id is not null"), "lines")
     several = cut(tokens.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token"), "several")
     # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
     company = cut(tokens.select("token", "h").join(several.hint("shuffle_hash"), "token").select("h").distinct(), "company")
