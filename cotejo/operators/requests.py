@@ -26,7 +26,7 @@ MOST_KEYS = 10
 def required_fields(subs: DataFrame) -> DataFrame:
     """VAL3: subs with sanitized titulo, autor and nota, and the reason of a rejection, or null."""
     clean = {"titulo": 200, "autor": 200, "nota": 500}
-    blank = F.greatest(*(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", 1).otherwise(0) for c in ("titulo", "autor"))) == 1
+    blank = F.greatest(*(F.when(tx.trim(F.coalesce(c, F.lit(""))) == "", 1).otherwise(0) for c in ("titulo", "autor"))) == 1
     out = subs.withColumn("_blank", blank).withColumns({c: tx.sanitize(F.col(c), n) for c, n in clean.items()})
     reason = F.when(F.col("_blank"), "required").when((F.col("titulo") == "") | (F.col("autor") == ""), "empty after cleaning")
     return out.withColumn("reason", reason).drop("_blank")

@@ -105,11 +105,16 @@ def ranked_groups(subs: DataFrame, catalog: DataFrame) -> DataFrame:
     # read by both passes; at most 15 rows for each source and submission
     found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog)).persist(StorageLevel.MEMORY_AND_DISK)
     top = consensus(found).filter("rank = 1").select("sub_id", F.col("sim_a").alias("top_a"))
-    weak = subs.join(top, "sub_id", "left").filter((F.coalesce("top_a", F.lit(0.0)) < FALLBACK_AUTHOR) & (F.length(F.trim(F.coalesce("autor", F.lit("")))) >= 4))
+    weak = subs.join(top, "sub_id", "left").filter((F.coalesce("top_a", F.lit(0.0)) < FALLBACK_AUTHOR) & (F.length(tx.trim(F.coalesce("autor", F.lit("")))) >= 4))
     more = retrieve(weak.select("sub_id", _query("autor")), catalog, base=1000)
     return consensus(found.unionByName(score_candidates(subs, more), allowMissingColumns=True))
 
 
+def prompt(titulo: Column, autor: Column) -> Column:
+    """PRJ6: what a model is asked about a submission."""
+    return F.format_string('Título: "%s"\nAutor: "%s"', titulo, autor)
+
+
 def confirmations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     """JN6 and AG9: for answers between the two confidences, the sources that hold the answer's
     title and author, in order, and the year of the first that has one."""

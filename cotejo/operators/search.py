@@ -1,10 +1,10 @@
 """Batch fuzzy search (SIM14-15, JN7, TK6, N15, N17).
 
 Relevance depends on the texts of a query part and a field: it is computed once for each distinct
-pair of them. Pairs come from an index that loses none: equality, substrings and word prefixes
-share the first three letters of one of the query's words somewhere in the field; queries of short
-words only meet all fields. The fuzzy part needs two like words, which are found once over the
-distinct vocabulary.
+pair of them. Pairs come from an index that loses none: equality, substrings and word prefixes share the
+first three letters of each of the query's words somewhere in the field, so the rarest of them is looked
+up; queries of short words are looked up by one or two letters. The fuzzy part needs two like words,
+which are found once over the distinct vocabulary by bounds of their Jaro.
 """
 
 from __future__ import annotations
@@ -16,39 +16,56 @@ from pyspark.sql.window import Window
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions.jaro import add_jaro_winkler
+from ..functions.jaro_join import jaro_candidates
 
 FLOOR, LIMIT = 0.55, 8
+#: Like words have a Jaro-Winkler of 0.86; with four equal letters first that is this Jaro.
+LIKE_JARO = (0.86 - 0.4) / 0.6
 
 
-def _trigrams(text: Column) -> Column:
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.expr("cast(array() as array<string>)"))
+def _grams(text: Column, *sizes: int) -> Column:
+    """The distinct pieces of these sizes, without blanks."""
+
+    def pieces(size: int) -> Column:
+        last = F.length(text) - (size - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.array_distinct(F.filter(F.concat(*map(pieces, sizes)), lambda p: F.instr(p, " ") == 0))
 
 
 def like_words(asked: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (qt, ft) of strong words of queries and fields (column w of both) that are evidence:
     the same four letters first and Jaro-Winkler 0.86, or 0.90."""
-    q, f = asked.select(F.col("w").alias("qt")).distinct(), held.select(F.col("w").alias("ft")).distinct()
-    # Jaro-Winkler of 0.86 needs Jaro of 0.76 at least, and so at most twice the length
-    pairs = q.join(f, (F.length("qt") <= 2 * F.length("ft")) & (F.length("ft") <= 2 * F.length("qt")))
+    pairs = jaro_candidates(asked.select("w"), held.select("w"), LIKE_JARO).toDF("qt", "ft")
     scored = add_jaro_winkler(pairs, {"jw": ("qt", "ft")})
     return scored.filter((F.col("jw") >= 0.90) | ((F.col("jw") >= 0.86) & (F.left("qt", F.lit(4)) == F.left("ft", F.lit(4))))).select("qt", "ft")
 
 
+def _direct(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """q, f: pairs of which f may equal or hold q, or all words of q begin words of f. Such an f holds the
+    first three letters of each word of q: it is looked up by the rarest, or if q has short words only by
+    the rarest of these. A beginning that no f holds rules q out."""
+    words = F.filter(F.split("q", " "), lambda w: w != "")
+    q = asked.select("q", F.explode(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(3))))).alias("k"))
+    long = F.max(F.length("k")).over(Window.partitionBy("q")) == 3
+    q = q.withColumn("long", long).filter(~F.col("long") | (F.length("k") == 3))
+    out = []
+    for part, sizes in ((q.filter("long"), (3,)), (q.filter("not long"), (1, 2))):
+        f = held.select("f", F.explode(_grams(F.col("f"), *sizes)).alias("k"))
+        counts = f.groupBy("k").agg(F.count("*").alias("n"))
+        ranked = part.join(counts, "k", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("best"))
+        out.append(ranked.select("q", F.col("best.k").alias("k")).join(f, "k").select("q", "f"))
+    return out[0].union(out[1])
+
+
 def relevance(asked: DataFrame, held: DataFrame) -> DataFrame:
     """SIM14: asked(q) and held(f), distinct normalised texts, to q, f, rel over 0."""
-    asked = asked.filter("q <> ''")
-    q = asked.select("q", F.explode(F.array_distinct(F.transform(F.filter(F.split("q", " "), lambda w: F.length(w) >= 3), lambda w: F.left(w, F.lit(3))))).alias("k"))
-    q = q.groupBy("q").agg(F.min("k").alias("k"))
-    f = held.filter("f <> ''").select("f", F.explode(_trigrams(F.col("f"))).alias("k"))
-    direct = q.join(f, "k").select("q", "f")
-    few = asked.join(q.select("q"), "q", "left_anti").select("q")
-    scanned = few.join(held.filter("f <> ''"), F.lit(True)).select("q", "f")
+    asked, held = asked.filter("q <> ''"), held.filter("f <> ''")
     qw = asked.select("q", F.explode(F.array_distinct(tx.strong_tokens(F.col("q")))).alias("w"))
     fw = held.select("f", F.explode(F.array_distinct(tx.strong_tokens(F.col("f")))).alias("w"))
     evidence = like_words(qw, fw)
     fuzzy = qw.join(evidence, F.col("w") == F.col("qt")).select("q", "ft").join(fw.select("f", F.col("w").alias("ft")), "ft").select("q", "f").distinct()
-    pairs = direct.union(scanned).distinct().join(fuzzy.withColumn("evidence", F.lit(True)), ["q", "f"], "full")
+    pairs = _direct(asked, held).distinct().join(fuzzy.withColumn("evidence", F.lit(True)), ["q", "f"], "full")
 
     qs, fs = F.split("q", " "), F.split("f", " ")
     all_prefix = F.forall(qs, lambda a: F.exists(fs, lambda b: b.startswith(a)))
@@ -90,12 +107,29 @@ def rank(queries: DataFrame, items: DataFrame, floor: float = FLOOR, limit: int
 
 
 def highlight(text: Column, query: Column) -> Column:
-    """The escaped text with its first accent-blind hit of the query's title part marked. Exact
-    where one letter folds to one letter; texts with combining marks are only escaped."""
+    """The escaped text with its first accent-blind hit of the query's title part marked. The text is
+    folded letter by letter, a letter to none, one or more, so that a hit in the folded text leads back to
+    the letters it came from: combining marks inside it are marked, one behind its last letter isn't."""
     plain = F.coalesce(text, F.lit(""))
     q = tx.normalize_search(tx.query_parts(query)[0])
-    folded = F.lower(tx.fold(plain))
-    at = F.when(F.length(folded) == F.length(plain), F.instr(folded, q)).otherwise(0)
-    n = F.length(q)
-    marked = F.concat(tx.escape_html(F.substring(plain, F.lit(1), at - 1)), F.lit("<mark>"), tx.escape_html(F.substring(plain, at, n)), F.lit("</mark>"), tx.escape_html(F.substring(plain, at + n, F.length(plain))))
-    return F.when((q != "") & (at > 0), marked).otherwise(tx.escape_html(plain))
+    letters = F.when(F.length(plain) > 0, F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.substring(plain, i, F.lit(1)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def marked(folds: Column) -> Column:
+        at = F.instr(F.array_join(folds, ""), q)
+        none = F.lit(0)
+
+        def step(s: Column, piece: Column) -> Column:
+            done, k = s["done"] + F.length(piece), s["k"] + 1
+            first = F.when((s["first"] == 0) & (done >= at), k).otherwise(s["first"])
+            last = F.when((s["last"] == 0) & (done >= at + F.length(q) - 1), k).otherwise(s["last"])
+            return F.struct(done.alias("done"), k.alias("k"), first.alias("first"), last.alias("last"))
+
+        start = F.struct(none.alias("done"), none.alias("k"), none.alias("first"), none.alias("last"))
+
+        def cut(x: Column) -> Column:
+            before, inside, after = F.substring(plain, F.lit(1), x["first"] - 1), F.substring(plain, x["first"], x["last"] - x["first"] + 1), F.substring(plain, x["last"] + 1, F.length(plain))
+            return F.concat(tx.escape_html(before), F.lit("<mark>"), tx.escape_html(inside), F.lit("</mark>"), tx.escape_html(after))
+
+        return F.when((q != "") & (at > 0), tx.let(F.aggregate(folds, start, step), cut)).otherwise(tx.escape_html(plain))
+
+    return tx.let(F.transform(letters, lambda c: F.lower(tx.fold(c))), marked)

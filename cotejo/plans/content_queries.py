@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,28 @@ def csv_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as submissions, checked and written as lines."""
-    subs = i.titles(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("titulo")).alias("titulo"), F.when(F.col("doc_id") % 7 == 0, "“”").otherwise(F.col("autor")).alias("autor"), F.col("source").alias("nota"))
+    subs = i.titles(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.when(F.col("doc_id") % 20 == 0, " ").otherwise("\u00a0\t")).otherwise(F.col("titulo")).alias("titulo"), F.when(F.col("doc_id") % 7 == 0, "“”").otherwise(F.col("autor")).alias("autor"), F.col("source").alias("nota"))
     checked = requests.required_fields(subs)
     return checked.select("doc_id", "reason", F.when(F.col("reason").isNull(), cat.csv_row(F.col("titulo"), F.col("autor"), F.col("nota"))).alias("line"))
 
 
+def catalog_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of parts, the accepted suppliers' submissions appended in two batches, read back as one
+    file: every line, what it holds, and what a strict reader says of it."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{place}/catalog-{uuid.uuid4().hex}"
+    cat.start_catalog(spark, path)
+    held = i.catalog(spark, sf_dir).select("line_no", "titulo", F.when(F.col("line_no") % 40 != 0, F.col("autor")).otherwise("").alias("autor"), F.when(F.col("line_no") % 50 == 0, "a,b").alias("nota"))
+    cat.append_rows(held, path, 1, "line_no")
+    subs = i.submissions(spark, sf_dir).withColumn("titulo", F.when(F.col("sub_id") % 10 == 0, "\u00a0\t").otherwise(F.col("titulo")))
+    accepted = requests.required_fields(subs).filter("reason is null")
+    for batch in (2, 3):
+        cat.append_rows(accepted.filter(F.col("sub_id") % 2 == batch % 2), path, batch, "sub_id")
+    cat.append_rows(accepted.filter("sub_id % 2 = 1"), path, 3, "sub_id")  # a batch that runs again
+    lines = cat.read_catalog(spark, path)
+    return cat.catalog_rows(lines).join(cat.check_lines(lines), "line_no", "left")
+
+
 def payload_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     coded = cat.encode_payload(text)
@@ -139,7 +158,7 @@ def request_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "error", F.array_join(entries, "; ").alias("inputs"))
 
 
-QUERIES = {f.__name__: f for f in (catalog_lines, csv_line_check, csv_first_failure, required_fields, payload_codec, editions_flat, editions_total, phrase_pool, phrase_choice, see_more_split, strip_emoji, image_slugs, optout_links, confirmed_optouts, request_delta)}
+QUERIES = {f.__name__: f for f in (catalog_lines, catalog_append, csv_line_check, csv_first_failure, required_fields, payload_codec, editions_flat, editions_total, phrase_pool, phrase_choice, see_more_split, strip_emoji, image_slugs, optout_links, confirmed_optouts, request_delta)}
 
 _LINES = f"""{i.TITLES}, ln AS (SELECT doc_id + 2 AS line_no,
   CASE WHEN doc_id % 50 = 2 THEN chr(160) WHEN doc_id % 50 = 3 THEN chr(13) WHEN doc_id % 5 = 1 THEN chr(9) || titulo || chr(160) || chr(13) ELSE titulo END AS line FROM titles)"""
@@ -191,9 +210,15 @@ SELECT request_id, error, CASE WHEN error IS NULL THEN array_to_string(ins, '; '
 
 ORACLE_SQL = {
     "catalog_lines": f"WITH {_LINES}, p AS (SELECT line_no, {dk.trim("string_split(line, ',')[1]")} AS titulo, {dk.trim("coalesce(string_split(line, ',')[2], '')")} AS autor FROM ln WHERE {dk.trim('line')} <> '') SELECT *, titulo <> '' AND autor <> '' AS compared FROM p",
+    "catalog_append": f"""WITH {i.CATALOG}, {i.SUBMISSIONS},
+h AS (SELECT row_number() OVER (ORDER BY line_no) AS k, titulo, CASE WHEN line_no % 40 <> 0 THEN autor ELSE '' END AS autor, CASE WHEN line_no % 50 = 0 THEN 1 ELSE 0 END AS extra FROM catalog),
+s AS (SELECT sub_id, ({dk.collapse(_SAN.format('titulo'))})[1:200] AS titulo, ({dk.collapse(_SAN.format('autor'))})[1:200] AS autor FROM submissions WHERE sub_id % 10 <> 0),
+a AS (SELECT row_number() OVER (ORDER BY sub_id % 2, sub_id) + (SELECT count(*) FROM h) AS k, titulo, autor, 0 AS extra FROM s),
+l AS (SELECT k + 1 AS line_no, titulo, autor, extra FROM h UNION ALL SELECT k + 1, titulo, autor, extra FROM a)
+SELECT line_no, titulo, autor, autor <> '' AS compared, CASE WHEN extra = 1 THEN 'expected 3 commas, got 4' END AS reason FROM l""",
     "csv_line_check": f"WITH {_FAILS} SELECT * FROM f WHERE reason IS NOT NULL",
     "csv_first_failure": f"WITH {_FAILS} SELECT min(line_no) AS line_no, arg_min(reason, line_no) AS reason, count(*) AS n_failures FROM f WHERE reason IS NOT NULL",
-    "required_fields": f"WITH {i.TITLES}, s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE titulo END AS t, CASE WHEN doc_id % 7 = 0 THEN '“”' ELSE autor END AS a, source FROM titles), c AS (SELECT doc_id, trim(t) = '' OR trim(a) = '' AS blank, ({dk.collapse(_SAN.format('t'))})[1:200] AS t, ({dk.collapse(_SAN.format('a'))})[1:200] AS a, ({dk.collapse(_SAN.format('source'))})[1:500] AS n FROM s), r AS (SELECT *, CASE WHEN blank THEN 'required' WHEN t = '' OR a = '' THEN 'empty after cleaning' END AS reason FROM c) SELECT doc_id, reason, CASE WHEN reason IS NULL THEN t || ',' || a || ',,' || n END AS line FROM r",
+    "required_fields": f"WITH {i.TITLES}, s AS (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN ' ' WHEN doc_id % 10 = 0 THEN chr(160) || chr(9) ELSE titulo END AS t, CASE WHEN doc_id % 7 = 0 THEN '“”' ELSE autor END AS a, source FROM titles), c AS (SELECT doc_id, {dk.trim('t')} = '' OR {dk.trim('a')} = '' AS blank, ({dk.collapse(_SAN.format('t'))})[1:200] AS t, ({dk.collapse(_SAN.format('a'))})[1:200] AS a, ({dk.collapse(_SAN.format('source'))})[1:500] AS n FROM s), r AS (SELECT *, CASE WHEN blank THEN 'required' WHEN t = '' OR a = '' THEN 'empty after cleaning' END AS reason FROM c) SELECT doc_id, reason, CASE WHEN reason IS NULL THEN t || ',' || a || ',,' || n END AS line FROM r",
     "payload_codec": "SELECT doc_id, to_base64(encode(text)) AS payload, true AS same FROM documents",
     "editions_flat": f"WITH {_ED} SELECT doc_id, pos, titulo, autor, num, CASE WHEN coalesce(num, 0) <> 0 THEN printf('#%03d · ', num::BIGINT) ELSE '' END AS label FROM e WHERE turn % 5 <> 3",
     "editions_total": f"WITH {_ED} SELECT doc_id, count(*) FILTER (WHERE turn % 5 <> 3) AS total FROM e GROUP BY doc_id",

@@ -25,10 +25,12 @@ _EXT = "ext AS (SELECT (['apple_books', 'google_books', 'openlibrary'])[p_size %
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer for most suppliers' submissions, some broken, as JSON text."""
+    """An answer for most suppliers' submissions, some broken, as JSON text; `reconocido` is any kind of value."""
     rows = i.table(spark, sf_dir, "supplier").join(i.table(spark, sf_dir, "part"), F.col("s_suppkey") == F.col("p_partkey"))
     k = F.col("s_suppkey")
-    answer = F.to_json(F.struct((k % 5 != 0).alias("reconocido"), F.concat(F.lit(" "), "p_name").alias("titulo_canonico"), F.concat("p_brand", F.lit(" "), "p_type").alias("autor_canonico"), F.when(k % 3 != 0, F.lit(1990)).alias("year"), ((60 + k * 7 % 41) / 100).alias("confianza"), F.col("s_name").alias("razon")))
+    answer = F.to_json(F.struct(F.concat(F.lit(" "), "p_name").alias("titulo_canonico"), F.concat("p_brand", F.lit(" "), "p_type").alias("autor_canonico"), F.when(k % 3 != 0, F.lit(1990)).alias("year"), ((60 + k * 7 % 41) / 100).alias("confianza"), F.col("s_name").alias("razon")))
+    said = F.when(k % 5 == 0, F.get(F.array(*map(F.lit, ("false", '""', "0", "null"))), (k % 4).cast("int"))).otherwise(F.get(F.array(*map(F.lit, ("true", '"true"', "1", '"no"', "{}"))), (k % 7 % 5).cast("int")))
+    answer = F.concat(F.lit('{"reconocido":'), said, F.lit(","), F.substring(answer, 2, 2**31 - 1))
     return rows.filter("s_acctbal >= 0").select(k.alias("sub_id"), F.when(k % 9 == 0, "{broken").otherwise(answer).alias("content"))
 
 
@@ -74,7 +76,7 @@ def llm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed answers, whether they pass, and the prompt that asked for them."""
     a = external.answers(_answers(spark, sf_dir))
     passes = F.col("reconocido") & (F.col("confianza") >= resolve.ANSWER_LEAST) & (F.col("titulo_canonico") != "") & (F.col("autor_canonico") != "")
-    prompt = F.format_string('Título: "%s"\nAutor: "%s"', F.col("titulo"), F.col("autor"))
+    prompt = resolve.prompt(F.col("titulo"), F.col("autor"))
     return a.join(i.submissions(spark, sf_dir).select("sub_id", "titulo", "autor"), "sub_id").select("sub_id", "reconocido", "titulo_canonico", "autor_canonico", "year", "confianza", "razon", passes.alias("passes"), prompt.alias("prompt"))
 
 

@@ -25,5 +25,15 @@ def test_ranking_with_and_without_author(spark):
 
 
 def test_highlight(spark):
-    got = spark.createDataFrame([("Él & Niño", "nino|x"), ("Él", "z"), (None, "a")], "t string, q string").select(search.highlight(F.col("t"), F.col("q"))).collect()
-    assert [r[0] for r in got] == ["Él &amp; <mark>Niño</mark>", "Él", ""]
+    rows = [("Él & Niño", "nino|x"), ("Él", "z"), (None, "a"), ("Un e\u0301xito <b>", "exito"), ("e\u0301e\u0301", "é"), ("a", ""), ("", "a")]
+    got = spark.createDataFrame(rows, "t string, q string").select(search.highlight(F.col("t"), F.col("q"))).collect()
+    assert [r[0] for r in got] == ["Él &amp; <mark>Niño</mark>", "Él", "", "Un <mark>e\u0301xito</mark> &lt;b&gt;", "<mark>e</mark>\u0301e\u0301", "a", ""]
+
+
+def test_short_queries_lose_nothing(spark):
+    """Every query against every field by the rules for direct hits, without an index."""
+    fields = ["el arte de la guerra", "it", "yo el supremo", "a", "de a poco", "guerra y paz", "x y z"]
+    asked = ["it", "a", "y", "el", "de la", "yo", "z x", "gu", "guerra", "arte de", "q", "la gue"]
+    got = {(r.q, r.f) for r in search.relevance(spark.createDataFrame([(q,) for q in asked], "q string"), spark.createDataFrame([(f,) for f in fields], "f string")).collect()}
+    want = {(q, f) for q in asked for f in fields if q in f or all(any(w.startswith(a) for w in f.split()) for a in q.split())}
+    assert want <= got

@@ -61,14 +61,3 @@ def test_optouts_stream_equals_batch(spark, tmp_path):
     query.stop()
     batch = sorted(r.email for r in intake.optouts_batch(actions).collect())
     assert sorted(r.email for r in spark.table("optouts").collect()) == batch == ["a", "d"]
-
-
-def test_catalogue_file(spark, tmp_path):
-    path = str(tmp_path / "csv")
-    (tmp_path / "csv").mkdir()
-    (tmp_path / "csv" / "a.csv").write_text('titulo,autor,portada,tagline\nDune,Herbert,,\n\nsolo\n, x,,\nbad,"q",,\n')
-    lines = cat.read_lines(spark, path)
-    assert [(r.line_no, r.titulo, r.compared) for r in cat.catalog_rows(lines).orderBy("line_no").collect()] == [(2, "Dune", True), (4, "solo", False), (5, "", False), (6, "bad", True)]
-    assert cat.first_failure(cat.check_lines(lines)).first().line_no == 4
-    cat.append_rows(spark.createDataFrame([("Ñu", "A", "n")], "titulo string, autor string, nota string"), path)
-    assert cat.read_lines(spark, path).filter("line = 'Ñu,A,,n'").count() == 1
