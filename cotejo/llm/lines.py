@@ -1,6 +1,7 @@
 """Operator 8, line dedup: remove lines whose shingles are nearly those of an earlier line.
 
-Method: an exact set-similarity join. A line's tokens are its distinct 5-word shingles. Two lines
+Method: an exact set-similarity join. A line's tokens are its distinct 5-word shingles, or all its words
+as one if they are fewer. Two lines
 at Jaccard `percent` or more share a token among their first n - ceil(percent * n) + 1, in any
 common order; such prefixes meet in equi-joins, with length and positional bounds, and the full
 sets decide.
@@ -134,7 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool = True) -> DataFrame:
     """doc_id (NULL_ID for null) and removed, the sorted numbers of the lines that go, from 0, for
     the ids with such lines.
 
@@ -211,8 +212,8 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
 u AS (SELECT line, min((doc_id, i)) AS fst FROM l GROUP BY line),
-w AS (SELECT line, fst, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM u),
-s AS (SELECT DISTINCT line, fst, array_to_string(w[k:k + 4], ' ') AS t FROM (SELECT line, fst, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+w AS (SELECT line, fst, list_filter(regexp_split_to_array(line, '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM u),
+s AS (SELECT DISTINCT line, fst, array_to_string(w[k:k + 4], ' ') AS t FROM (SELECT line, fst, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)),
 n AS (SELECT line, count(*) AS n FROM s GROUP BY line),
 o AS (SELECT a.line, b.line AS other, count(*) AS o FROM s a JOIN s b ON a.t = b.t AND b.fst < a.fst GROUP BY ALL),
 g AS (SELECT DISTINCT o.line FROM o JOIN n x ON x.line = o.line JOIN n y ON y.line = o.other WHERE 180 * o.o >= 80 * (x.n + y.n)),

@@ -1,6 +1,8 @@
 """Operator 9, MinHash near-dedup with sequential Bayesian verification.
 
-Texts of equal word sequences are one node, the least doc_id. 128 MinHash values of a node's
+Texts of equal word sequences are one node, named by the least doc_id that has them; where one doc_id
+would name several, as rows repeat it with different texts, they get names above all ids, and the texts of
+a doc_id are linked afterwards. 128 MinHash values of a node's
 5-word shingles make bands whose width follows the threshold: 25 of 5 at 0.85, 32 of 4 at 0.8, so
 that a pair at the threshold shares none with probability 1e-6 at most (4e-7 and 5e-8).
 Not all pairs of a bucket are made. First the member with most company is compared with the
@@ -33,6 +35,8 @@ from .common import cut, documents, id_in, id_out
 from .components import components
 
 VALUES, BATCH, MISSED = 128, 16, 1e-6
+#: Names of nodes that aren't a doc_id; ids are taken to be smaller.
+FRESH = 1 << 62
 #: Queries and targets of one block, about, and groups that small clusters are dealt to.
 QUERIES, TARGETS, SMALL_GROUPS = 256, 2048, 1 << 12
 _A = S.mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,16 +69,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = S.ids_of(batch)
+            ids, h = S.ids_of(batch), batch.column(batch.schema.get_field_index("h")).to_numpy()
             for rows, data, offsets in S.text_parts(batch):
                 sets = shingle_rows(data, offsets, size)
                 keys = [hashlib.blake2b(b" ".join(data[a:b].tobytes().lower().split()), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 sigs = [signature(x).tobytes() if len(x) else None for x in sets]
-                yield S.batch_of(schema, ids[rows], list(map(len, sets)), [k if s else None for k, s in zip(keys, sigs, strict=True)], sigs)
+                yield S.batch_of(schema, ids[rows], h[rows], list(map(len, sets)), [k if s else None for k, s in zip(keys, sigs, strict=True)], sigs)
 
     return run
 
@@ -257,20 +261,38 @@ def _blocks(state: DataFrame) -> DataFrame:
     return dealt(rows.filter("root != main"), "i", "j", True).union(dealt(rows.filter("i_end > 0"), "j", "i", False))
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    """nodes with their name, node: doc_id, or one above all ids where several texts have this doc_id."""
+    twice = cut(nodes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("twice")), "twice")
+    if twice.isEmpty():
+        return nodes.withColumn("node", F.col("doc_id"))
+    fresh = F.xxhash64("key").bitwiseAND(F.lit(FRESH - 1)) + F.lit(FRESH)
+    return nodes.join(twice, "doc_id", "left").withColumn("node", F.when(F.col("twice"), fresh).otherwise(F.col("doc_id"))).drop("twice")
+
+
+def _same_document(placed: DataFrame) -> DataFrame:
+    """Links of each doc_id that has several texts, or whose text isn't named by an id, with its texts."""
+    mixed = placed.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(f"lo < hi or hi >= {FRESH}").select("doc_id")
+    return placed.join(mixed, "doc_id").filter("node is not null").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Two tables: every row's doc_id, n_shingles and node (null without words), and node, root for
     nodes that hang on a smaller root. See near_dedup."""
-    texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_sketch(size), "doc_id long, n_shingles long, key binary, sig binary"), "sketches")
-    nodes = cut(base.filter("sig is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "nodes")
-    sigs = nodes.groupBy("node").agg(F.max("sig").alias("sig"))
+    texts = docs.select(id_in(), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    base = cut(texts.mapInArrow(_sketch(size), "doc_id long, h long, n_shingles long, key binary, sig binary"), "sketches")
+    nodes = base.filter("sig is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.any_value("sig").alias("sig"))
+    nodes = cut(_named(cut(nodes.select("key", "least.*", "sig"), "texts")), "nodes")
+    placed = cut(base.join(nodes.select("key", "node"), "key", "left").select("doc_id", "n_shingles", "node"), "placed")
+    sigs = nodes.select("node", "sig")
     bands = sigs.mapInArrow(_bands(width(percent)), "band long, node long")
     crowd = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(bands.join(crowd, "band"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = cut(members.join(company, "node"), "members")
     # by merge at every size: the texts would else move only where the ids are too many to broadcast
-    bodies = cut(texts.join(members.select("node").distinct().hint("merge"), texts.doc_id == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "bodies")
+    asked = nodes.select("node", "doc_id", "h").join(members.select("node").distinct(), "node")
+    bodies = cut(texts.join(asked.hint("merge"), ["doc_id", "h"]).groupBy("node").agg(F.max("text").alias("text")), "bodies")
 
     pivot = members.groupBy("band").agg(F.max(F.struct("company", "node")).alias("top")).select("band", F.col("top.node").alias("a"))
     pairs = members.join(pivot, "band").filter("node != a").select("a", F.col("node").alias("b")).distinct()
@@ -288,8 +310,7 @@ def near_links(docs: DataFrame, percent: int = 85, size: int = 5, miss: float =
     dealt = _blocks(cut(state, "clusters")).join(sigs, "node").select("task_key", "cluster", "node", "root", "query", "sig")
     alive = cut(dealt.groupBy("task_key").applyInArrow(_in_play(percent, miss), dealt.schema), "in_play")
     more = alive.join(bodies, "node").groupBy("task_key").applyInArrow(_cluster_links(size, percent, miss), "a long, b long")
-    roots = components(cut(more, "links").union(roots.toDF("a", "b")))
-    return base.join(nodes.select("key", "node"), "key", "left").select("doc_id", "n_shingles", "node"), roots
+    return placed, components(cut(more.union(roots.toDF("a", "b")).union(_same_document(placed)), "links"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, miss: float = 1e-5) -> DataFrame:
@@ -300,8 +321,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, miss: float =
 
     Fewer words than `size` make one shingle of all of them; null, empty and blank texts have
     none and are linked with nothing. A null doc_id sorts before all others. Rows that repeat a
-    doc_id are one document: they are linked if their texts are. Other columns are ignored; an
-    empty table gives an empty result."""
+    doc_id, nulls too, are one document: their texts are linked with each other, and whatever is near one of
+    them is linked with all. Other columns are ignored; an empty table gives an empty result."""
     base, roots = near_links(docs, percent, size, miss)
     out = base.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
     return out.select(id_out(), "n_shingles", id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -114,6 +114,19 @@ def test_near_dedup(docs, rows):
         assert (r.n_shingles, null_id(r.component_id), r.kept) == (len(sets[i]), root[i], root[i] == i)
 
 
+@pytest.mark.parametrize("twice", [5, None])
+def test_near_dedup_of_repeated_ids(spark, twice):
+    """Rows that repeat an id with different texts link what is near any of them."""
+    rng = random.Random(9)
+    a, b, c, d = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(4))
+    near_a, near_b = a[:-1] + ["other"], b[:-1] + ["other"]
+    rows = [(twice, a), (twice, b), (7, near_a), (8, near_b), (9, c), (12, d), (12, c), (12, []), (13, d), (20, a), (21, d[:-1] + ["x"])]
+    got = near.near_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    root = {twice: twice, 7: twice, 8: twice, 9: 9, 12: 9, 13: 9, 20: twice, 21: 9}
+    assert sorted((null_id(r.doc_id), r.n_shingles, null_id(r.component_id)) for r in got if r.n_shingles) == sorted((null_id(i), 76, null_id(root[i])) for i, t in rows if t)
+    assert {r.doc_id for r in got if r.kept and r.n_shingles} == {twice, 9}
+
+
 @pytest.mark.parametrize(("queries", "targets"), [(near.QUERIES, near.TARGETS), (8, 32)])
 def test_near_dedup_of_a_hot_group(spark, monkeypatch, queries, targets):
     """Many near copies at all distances from a base: chains, stragglers, several components; also
@@ -149,8 +162,8 @@ def test_line_dedup(docs, rows):
     seen, sets, order = [], defaultdict(set), []
     for i in sorted(by_id(rows)):
         for k, line in enumerate(by_id(rows)[i].split("\n")):
-            w = [x for x in line.split(" ") if x]
-            sets[i, k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+            w = [x.decode() for x in line.encode().split()]
+            sets[i, k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
             order.append((i, k))
     gone = set()
     for p in order:
@@ -233,6 +246,6 @@ def test_line_dedup_of_short_lines(spark):
                 gone[i].append(k)
             elif x:
                 seen.append(x)
-    got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), short=True).collect()
+    got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.removed for r in got} == gone
     assert len({texts[i].split("\n")[k] for i in gone for k in gone[i]}) > 8
