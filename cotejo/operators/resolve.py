@@ -7,7 +7,6 @@ that is grouped by submission.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,9 +100,9 @@ def _query(*names: str) -> Column:
 
 def ranked_groups(subs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Groups after the second retrieval, by author alone, for submissions whose best group has no
-    likely author (JN5)."""
+    likely author (JN5). Needs a checkpoint folder."""
     # read by both passes; at most 15 rows for each source and submission
-    found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog)).checkpoint()
     top = consensus(found).filter("rank = 1").select("sub_id", F.col("sim_a").alias("top_a"))
     weak = subs.join(top, "sub_id", "left").filter((F.coalesce("top_a", F.lit(0.0)) < FALLBACK_AUTHOR) & (F.length(tx.trim(F.coalesce("autor", F.lit("")))) >= 4))
     more = retrieve(weak.select("sub_id", _query("autor")), catalog, base=1000)

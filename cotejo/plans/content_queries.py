@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +44,7 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of parts, the accepted suppliers' submissions appended in two batches, read back as one
     file: every line, what it holds, and what a strict reader says of it."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{place}/catalog-{uuid.uuid4().hex}"
+    path = i.scratch(spark, "catalog")
     cat.start_catalog(spark, path)
     held = i.catalog(spark, sf_dir).select("line_no", "titulo", F.when(F.col("line_no") % 40 != 0, F.col("autor")).otherwise("").alias("autor"), F.when(F.col("line_no") % 50 == 0, "a,b").alias("nota"))
     cat.append_rows(held, path, 1, "line_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{place}/{name}-{uuid.uuid4().hex}"
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of documents: doc_id, titulo, autor (second and third word), source."""
     line = F.get(F.split("text", "\n"), 0)
