@@ -17,8 +17,8 @@ def in_turn(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """The sub_id of the rows that come through when taken one by one: a row is refused if an
     earlier one that came through blocks it. blocks(sub_id, earlier). Each round settles the rows
     whose earlier ones are all settled, so there are as many rounds as a chain of blocks is long."""
-    settled = rows.join(blocks, "sub_id", "left_anti").select("sub_id", F.lit(True).alias("accepted")).checkpoint()
     open_ = blocks.checkpoint()
+    settled = rows.join(open_, "sub_id", "left_anti").select("sub_id", F.lit(True).alias("accepted")).checkpoint()
     while not open_.isEmpty():
         known = open_.join(settled.withColumnRenamed("sub_id", "earlier"), "earlier", "left")
         state = known.groupBy("sub_id").agg(F.bool_or(F.coalesce("accepted", F.lit(False))).alias("blocked"), F.bool_or(F.col("accepted").isNull()).alias("waits"))
