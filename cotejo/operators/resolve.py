@@ -1,12 +1,15 @@
 """Entity resolution against external catalogues (SIM11-12, JN4-6, AG1-6, AG9, TK3-5, DC2-4).
 
 Retrieval is an equi-join on tokens with whole-number weights by rarity, so that the order is the
-same everywhere; at most `limit` candidates for each source and submission go on. Everything after
-that is grouped by submission.
+same everywhere; at most `limit` candidates for each source and submission go on, and a bound on
+what a token can add leaves most posting lists of common tokens unread. Everything after that is
+grouped by submission.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,19 +28,73 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(tx.normalize_verify(text), " "), lambda t: F.length(t) >= 2))
 
 
-def retrieve(queries: DataFrame, catalog: DataFrame, limit: int = 15, base: int = 0) -> DataFrame:
-    """JN4: queries(sub_id, query) and catalog(source, ord, titulo, autor, year) to sub_id, source,
-    ord (from base, by source and rank), titulo, autor, year."""
-    known = catalog.select("source", "ord", "titulo", "autor", "year", _tokens(F.concat_ws(" ", "titulo", "autor")).alias("tokens"))
-    postings = known.select("source", "ord", F.explode("tokens").alias("token"))
-    weights = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(known.agg(F.count("*").alias("n")))
-    weights = weights.select("token", F.floor(1000 * F.log(1 + F.col("n") / F.col("df"))).alias("weight"))
-    asked = queries.select("sub_id", F.explode(_tokens(F.col("query"))).alias("token")).join(weights, "token")
-    hits = asked.join(postings, "token").groupBy("sub_id", "source", "ord").agg(F.sum("weight").alias("score"))
+class Index(NamedTuple):
+    """A catalogue made ready for retrieval: its rows with their tokens, the weight of each token
+    that a source has, and the tokens and pairs of tokens (a, b) that `limit` rows of it hold."""
+
+    known: DataFrame
+    weights: DataFrame
+    common: DataFrame
+    limit: int
+
+
+def _pairs(items: Column) -> Column:
+    """All (a, b) with a at or before b."""
+    return F.flatten(F.transform(items, lambda a, i: F.transform(F.slice(items, i + 1, F.size(items)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def index(catalog: DataFrame, limit: int = 15, stored: bool = False) -> Index:
+    """The index of catalog(source, ord, titulo, autor, year), ord unique in a source. Stored, it is
+    written once to the checkpoint folder, and retrievals after that don't read the catalogue."""
+    known = catalog.select("source", "ord", "titulo", "autor", "year", F.array_sort(_tokens(F.concat_ws(" ", "titulo", "autor"))).alias("tokens"))
+    # small rows, much work on each posting: as many tasks as shuffles have, not as the files' bytes make
+    known = known.repartition(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "ord")
+    known = known.checkpoint() if stored else known
+    held = known.select("source", F.explode(_pairs(F.col("tokens"))).alias("p")).groupBy("source", "p.a", "p.b").agg(F.count("*").alias("held"))
+    held = held.filter((F.col("a") == F.col("b")) | (F.col("held") >= limit))
+    held = held.checkpoint() if stored else held
+    # one row for each source of a token, and one with the number of rows
+    weights = held.filter("a = b").withColumn("df", F.sum("held").over(Window.partitionBy("a"))).crossJoin(F.broadcast(known.agg(F.count("*").alias("n"))))
+    weights = weights.select(F.col("a").alias("token"), "source", F.floor(1000 * F.log(1 + F.col("n") / F.col("df"))).alias("weight"))
+    return Index(known, weights, held.filter(F.col("held") >= limit).select("source", "a", "b"), limit)
+
+
+def _weigh(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda total, x: total + x.weight)
+
+
+def _needed(queries: DataFrame, found: Index) -> DataFrame:
+    """sub_id, source, terms (weight and token, heaviest first), least, token and before: what has
+    to be looked up. Tokens that `limit` rows of a source hold together give that many rows at least
+    their weight, so rows under the greatest such weight, `least`, are out. They include rows whose
+    first term is at a place from which on all terms together weigh less; those terms stay unread."""
+    asked = queries.select("sub_id", F.explode(_tokens(F.col("query"))).alias("token")).join(found.weights, "token")
+    rows = asked.groupBy("sub_id", "source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("weight", "token")))).alias("terms"))
+    by_token = F.array_sort(F.transform("terms", lambda x: F.struct(x.token.alias("token"), x.weight.alias("weight"))))
+    sets = rows.select("sub_id", "source", F.explode(_pairs(by_token)).alias("p"))
+    both = F.col("p.a.weight") + F.when(F.col("p.a.token") != F.col("p.b.token"), F.col("p.b.weight")).otherwise(0)
+    sets = sets.select("sub_id", "source", F.col("p.a.token").alias("a"), F.col("p.b.token").alias("b"), both.alias("both"))
+    least = sets.join(found.common, ["source", "a", "b"]).groupBy("sub_id", "source").agg(F.max("both").alias("least"))
+    rows = rows.join(least, ["sub_id", "source"], "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    places = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: _weigh(F.slice("terms", i + 1, F.size("terms"))) >= F.col("least"))
+    rows = rows.select("*", F.explode(places).alias("at"))
+    before = F.transform(F.slice("terms", 1, F.col("at")), lambda x: x.token)
+    return rows.select("sub_id", "source", "terms", "least", F.get("terms", F.col("at")).token.alias("token"), before.alias("before"))
+
+
+def retrieve(queries: DataFrame, catalog: DataFrame | Index, limit: int = 15, base: int = 0) -> DataFrame:
+    """JN4: queries(sub_id, query) and catalog(source, ord, titulo, autor, year), or its index with
+    its limit, to sub_id, source, ord (from base, by source and rank), titulo, autor, year. Common
+    tokens are looked up for those submissions only that could find one of their best rows by them."""
+    found = catalog if isinstance(catalog, Index) else index(catalog, limit)
+    postings = found.known.select("source", "ord", "tokens", F.explode("tokens").alias("token"))
+    # a row counts at the first of its terms, and with all of them
+    met = _needed(queries, found).join(postings, ["token", "source"]).filter(~F.arrays_overlap("before", "tokens"))
+    met = met.withColumn("score", _weigh(F.filter("terms", lambda x: F.array_contains("tokens", x.token)))).filter("score >= least")
     rank = F.row_number().over(Window.partitionBy("sub_id", "source").orderBy(F.desc("score"), "ord"))
-    top = hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    top = met.select("sub_id", "source", "ord", "score").withColumn("rank", rank).filter(F.col("rank") <= found.limit)
     place = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    return top.join(known, ["source", "ord"]).select("sub_id", "source", (base + place * 100 + F.col("rank")).cast("int").alias("ord"), "titulo", "autor", "year")
+    return top.join(found.known, ["source", "ord"]).select("sub_id", "source", (base + place * 100 + F.col("rank")).cast("int").alias("ord"), "titulo", "autor", "year")
 
 
 def title_scores(pairs: DataFrame) -> DataFrame:
@@ -98,9 +155,10 @@ def _query(*names: str) -> Column:
     return F.trim(F.concat_ws(" ", *names)).alias("query")
 
 
-def ranked_groups(subs: DataFrame, catalog: DataFrame) -> DataFrame:
+def ranked_groups(subs: DataFrame, catalog: DataFrame | Index) -> DataFrame:
     """Groups after the second retrieval, by author alone, for submissions whose best group has no
-    likely author (JN5). Needs a checkpoint folder."""
+    likely author (JN5). Both retrievals read one index. Needs a checkpoint folder."""
+    catalog = catalog if isinstance(catalog, Index) else index(catalog, stored=True)
     # read by both passes; at most 15 rows for each source and submission
     found = score_candidates(subs, retrieve(subs.select("sub_id", _query("titulo", "autor")), catalog)).checkpoint()
     top = consensus(found).filter("rank = 1").select("sub_id", F.col("sim_a").alias("top_a"))
@@ -114,7 +172,7 @@ def prompt(titulo: Column, autor: Column) -> Column:
     return F.format_string('Título: "%s"\nAutor: "%s"', titulo, autor)
 
 
-def confirmations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
+def confirmations(answers: DataFrame, catalog: DataFrame | Index) -> DataFrame:
     """JN6 and AG9: for answers between the two confidences, the sources that hold the answer's
     title and author, in order, and the year of the first that has one."""
     asked = answers.filter((F.col("confianza") >= ANSWER_LEAST) & (F.col("confianza") < ANSWER_TRUSTED)).select("sub_id", F.col("titulo_canonico").alias("titulo"), F.col("autor_canonico").alias("autor"))

@@ -86,7 +86,7 @@ def answer_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs, catalog = i.submissions(spark, sf_dir), _catalog(spark, sf_dir)
+    subs, catalog = i.submissions(spark, sf_dir), resolve.index(_catalog(spark, sf_dir), stored=True)  # read by three retrievals
     answers = external.answers(_answers(spark, sf_dir))
     decided = resolve.decide(subs, resolve.ranked_groups(subs, catalog), answers, resolve.confirmations(answers, catalog))
     return resolve.hint(resolve.intake_outcome(decided))
