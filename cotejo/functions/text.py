@@ -7,7 +7,6 @@ stay as they are; lengths are code points.
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from collections.abc import Callable
 from functools import cache
@@ -236,22 +235,12 @@ PLAIN_DASHES = "–—―−"
 PLAIN_SPACES = "    　﻿‌‍⁠­" + "".join(map(chr, range(0x2000, 0x200C)))
 
 
-@cache
-def compose_pairs() -> list[tuple[str, str]]:
-    """Base letter and mark of the Latin letters with one mark, and what they make (NFC)."""
-    out = []
-    for code in range(0xC0, 0x180):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) == 2:
-            out.append((parts, chr(code)))
-    return out
-
-
 def compose(text: Column) -> Column:
-    """NFC for Latin letters with one mark; texts without combining marks pass at once."""
-    pairs = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in compose_pairs()])), "array<struct<a: string, b: string>>")
-    whole = F.aggregate(pairs, text, lambda out, p: F.replace(out, p.a, p.b))
-    return F.when(text.rlike(r"[\x{300}-\x{36F}]"), whole).otherwise(text)
+    """NFC of any text, by the normalizer of the ICU library that Spark ships. Texts of Latin-1
+    and the Latin letters up to U+02FF are in that form already and pass at once. Spark takes a
+    call of a method as not deterministic, so it can't stand in a join's condition."""
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), whole).otherwise(text)
 
 
 def sanitize(text: Column, longest: int) -> Column:
