@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -158,19 +159,48 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, 101: 100}
 
 
-def test_line_dedup(docs, rows):
-    seen, sets, order = [], defaultdict(set), []
-    for i in sorted(by_id(rows)):
-        for k, line in enumerate(by_id(rows)[i].split("\n")):
+def near_lines(texts: dict) -> set:
+    """(id, line) of the lines that an earlier line nearly equals, in order of ids."""
+    seen, gone = [], set()
+    for i in sorted(texts):
+        for k, line in enumerate(texts[i].split("\n")):
             w = [x.decode() for x in line.encode().split()]
-            sets[i, k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
-            order.append((i, k))
-    gone = set()
-    for p in order:
-        x = sets[p]
-        if x and any(5 * len(x & sets[q]) >= 4 * len(x | sets[q]) for q in seen if sets[q]):
-            gone.add(p)
-        seen.append(p)
+            own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+            if any(not own.isdisjoint(x) and 5 * len(own & x) >= 4 * len(own | x) for x in seen):
+                gone.add((i, k))
+            if own:
+                seen.append(own)
+    return gone
+
+
+def item_words(text) -> list[str]:
+    plain = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain)
+
+
+def item_windows(items) -> dict:
+    """The ids of the items that have a window of words."""
+    out = defaultdict(set)
+    for i, t in items:
+        w = item_words(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            out[tuple(w[k : k + 10])].add(i)
+    return out
+
+
+def benchmark_hits(text, windows: dict) -> tuple[int, set, set]:
+    """Number of words, places of those hit, and ids of the items found."""
+    w, hit, found = item_words(text), set(), set()
+    for size in {len(x) for x in windows}:
+        for k in range(len(w) - size + 1):
+            if (own := tuple(w[k : k + size])) in windows:
+                hit |= set(range(k, k + size))
+                found |= windows[own]
+    return len(w), hit, found
+
+
+def test_line_dedup(docs, rows):
+    gone = near_lines(by_id(rows))
     got = lines.line_dedup(docs).collect()
     assert len(got) == len(rows)
     null_texts = {null_id(i) for i, t, *_ in rows if t is None}
@@ -186,31 +216,16 @@ def test_line_dedup(docs, rows):
 
 
 def test_contamination(spark, docs, rows):
-    import re
-
-    def words(t):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-
     texts = by_id(rows)
     long = next(t for t in texts.values() if len(t) > 9000).split()
     items = [(1, " ".join(long[100:112])), (2, "Uno-DOS"), (3, ""), (4, None), (5, "no such words"), (None, " ".join(long[5:30])), (6, " ".join(long[100:112]) + " zzz")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
-    windows = defaultdict(set)
-    for i, t in items:
-        w = words(t)
-        for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(i)
+    windows = item_windows(items)
     got = decontaminate.contamination(docs, bench).collect()
     assert len(got) == len(rows)
     for r in got:
-        w = words(texts[null_id(r.doc_id)])
-        hit, found = set(), set()
-        for win, ids in windows.items():
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    found |= ids
-        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(str(x) for x in found if x is not None))
+        n, hit, found = benchmark_hits(texts[null_id(r.doc_id)], windows)
+        assert (r.n_words, r.n_hit, r["items"]) == (n, len(hit), sorted(str(x) for x in found if x is not None))
 
 
 def test_empty_tables(spark, docs, nothing):

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from cotejo.llm import common, langid, lm_score, packing, queries, sharding, syncmers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .conftest import by_id
 
@@ -24,8 +27,8 @@ def test_sharding(docs, rows):
         shards[r.shard].append(r.slot)
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1 and set(shards) <= set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
-    texts = Counter((r.size, r.text_crc32) for r in got)
-    assert texts == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    texts = Counter((r.doc_id, r.size, r.text_crc32) for r in got)
+    assert texts == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
 
 
 def test_sharding_keeps_copies_together(spark):
@@ -39,6 +42,21 @@ def test_sharding_keeps_copies_together(spark):
     sizes = Counter(r.shard for r in got)
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
+    def cut_edges(shard):
+        """Pairs of equal texts in different shards, among the groups of three."""
+        own = defaultdict(list)
+        for i, t in rows:
+            own[t].append(shard[i])
+        return sum(a != b for k in range(100) for a, b in itertools.combinations(own[f"text {k}"], 2))
+
+    assert cut_edges({r.doc_id: r.shard for r in got}) < 0.2 * cut_edges({i: i % 8 for i, _ in rows})
+
+
+def test_sharding_query(spark, sf_dir):
+    got = queries.QUERIES["op1_sharding"](spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in common.documents(spark, sf_dir).select("doc_id").collect())
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
 
 def words(text):
     for c in "\t\n\x0b\x0c\r":
@@ -123,9 +141,6 @@ def test_anchors_are_closed_syncmers_in_any_context(spark):
 
 def test_packing(docs, rows):
     import numpy as np
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, capacity=64, with_ids=True).collect()
     pieces = defaultdict(list)
@@ -152,9 +167,6 @@ def test_packing(docs, rows):
 
 def test_encoder_equals_the_tokenizers_file():
     """Random strings of all kinds of characters, with blanks, the added token and parts of it."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     tok, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
     kinds = [range(32, 127), range(0, 33), range(0xA0, 0x250), range(0x370, 0x530), range(0x590, 0x700), range(0x900, 0xA00), range(0x2000, 0x2070), range(0x3040, 0x30FF), range(0x4E00, 0x9000), range(0x1F300, 0x1F700), range(0x300, 0x370)]
     words = ["<|endoftext|>", "<|endof", "text|>", "'s", " 're", "  ", "\n\n", "\r\n", "the", " The", "123", " 4567"]
@@ -272,7 +284,9 @@ def test_empty_tables(nothing):
 
 
 def test_pipeline_stages(spark, sf_dir):
-    """Each stage on what the one before kept, against brute force on its own input."""
+    """Each stage on what the one before kept: the rows and texts that brute force keeps of its input."""
+    from .test_dedup_ops import benchmark_hits, groups, item_windows, near_lines, shingle_sets
+
     docs = common.documents(spark, sf_dir)
     columns = docs.columns
     names = [name for name, _ in corpus_pipeline.STAGES]
@@ -280,22 +294,46 @@ def test_pipeline_stages(spark, sf_dir):
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, common.cut(stage(spark, docs, sf_dir), name)
-        kept[name] = (before, docs)
         if name != names[-1]:
             assert docs.columns == columns
-            assert docs.join(before, "doc_id", "left_anti").count() == 0
+        kept[name] = [r.asDict() for r in before.collect()], [r.asDict() for r in docs.collect()]
+
+    def same(name, expected):
+        key = repr
+        assert sorted(kept[name][1], key=key) == sorted(expected, key=key)
+
+    before, _ = kept["language_id"]
+    same("language_id", [r for r in before if any(c.isalpha() for c in r["text"] or "")])
+    before, _ = kept["line_dedup"]
+    gone, expected = near_lines({r["doc_id"]: r["text"] for r in before}), []
+    for r in before:
+        lines = r["text"].split("\n")
+        left = [x for k, x in enumerate(lines) if (r["doc_id"], k) not in gone]
+        if len(left) == len(lines) or "".join(left).strip():
+            expected.append(r | {"text": "\n".join(left), "n_chars": len("\n".join(left))})
+    assert gone
+    same("line_dedup", expected)
     before, after = kept["near_dedup"]
-    from .test_dedup_ops import groups, shingle_sets
-
-    root = groups(shingle_sets([(r.doc_id, r.text) for r in before.collect()]))
-    assert {r.doc_id for r in after.collect()} == {i for i in root if root[i] == i}
-    before, after = kept["line_dedup"]
-    texts = {r.doc_id: r.text for r in before.collect()}
-    for r in after.collect():
-        lines = iter(texts[r.doc_id].split("\n"))
-        assert all(x in lines for x in r.text.split("\n")) and r.n_chars == len(r.text)
-    before, after = kept["best_fit_packing"]
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    root = groups(shingle_sets([(r["doc_id"], r["text"]) for r in before]), 80)
+    same("near_dedup", [r for r in before if root[r["doc_id"]] == r["doc_id"]])
+    # line dedup leaves no near copies in these tables, so the stage also takes what came before it
+    before = kept["line_dedup"][0]
+    root = groups(shingle_sets([(r["doc_id"], r["text"]) for r in before]), 80)
+    given = common.documents(spark, sf_dir).filter(F.col("text").rlike(r"\p{L}"))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, given, sf_dir).collect()}
+    assert left == {i for i in root if root[i] == i} and len(left) < len(before)
+    before, after = kept["decontamination"]
+    windows = item_windows([(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    assert len(after) < len(before)
+    same("decontamination", [r for r in before if not benchmark_hits(r["text"], windows)[1]])
+    before, after = kept[names[-1]]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths, used = Counter(), Counter()
+    for r in after:
+        lengths[r["doc_id"]] += r["length"]
+        used[r["sequence_id"]] += r["length"]
+    assert lengths == {r["doc_id"]: 1 + len(tokenizer.encode(r["text"], add_special_tokens=False).ids) for r in before}
+    assert max(used.values()) <= 1024 and len(used) < 1.1 * sum(used.values()) / 1024 + 2
 
 
 def test_pipeline_edges(spark, docs, nothing, sf_dir):
@@ -339,9 +377,6 @@ def test_pipeline_line_dedup_takes_short_lines(spark):
 
 
 def test_packing_finds_the_added_token_in_texts(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y<|endoftext|", "<|END|> <|endoftext |>"]
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
