@@ -1,9 +1,11 @@
 """Operator 7, LM scoring: marginal likelihood over all segmentations of a subword lattice.
 
 The pieces and their scores are those of a public vocabulary; no tokenizer is trained. It is a BPE
-model, whose scores are merge ranks (0, -1, -2, ...), so a piece's normalised weight is a Zipf share
-of its rank; half of all weight follows these scores, and half the pieces' counts in the vocabulary's
-own segmentation of the training words (CORPUS). A word is a lattice of pieces over its characters,
+model, whose scores are merge ranks (0, -1, -2, ...), so a score becomes a share (rank + b) ** -a.
+Part of all weight follows these shares, and part the pieces' counts in the vocabulary's own
+segmentation of the training words. a, b and the two parts are those under which the training pieces
+are likeliest, each piece left out of its own count (fit_weights); a byte piece, which has no merge,
+and a run of blanks rank after all merges. A word is a lattice of pieces over its characters,
 with a chain of byte pieces under each character, so that every word has a path; the forward
 recursion adds all paths in log space, with a chance to go on after each piece, so that all words
 together have mass 1. `score` is the product of the marginals of a text's words, and of one end.
@@ -34,7 +36,9 @@ from .common import crc_remainder, cut, documents, id_in, id_out
 
 BLOCK_BYTES = 24 << 20
 WORDS_A_TASK = 50_000
-DISCOUNT, CORPUS = 0.5, 0.5
+DISCOUNT = 0.5
+#: What fit_weights tries for a and b, and its rounds for the parts.
+EXPONENTS, OFFSETS, ROUNDS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0), (1.0, 10.0, 100.0, 1000.0), 50
 #: Longer words go through the lattice one by one.
 LONG = 48
 MARK = "▁"
@@ -109,20 +113,48 @@ def _piece_counts(path: str | None):
     return run
 
 
+def piece_ranks(path: str | None) -> np.ndarray:
+    """Merge rank of each piece; -1 for pieces that no lattice has (control, unknown)."""
+    model = vocabulary(path)
+    rank = np.array([-model.get_score(i) for i in range(model.get_piece_size())])
+    other = np.array([model.is_control(i) or model.is_unknown(i) for i in range(len(rank))], dtype=bool)
+    whole = np.array([model.is_byte(i) or not model.id_to_piece(i).strip(MARK) for i in range(len(rank))], dtype=bool)
+    rank[whole] = rank[~whole & ~other].max() + 1
+    rank[other] = -1
+    return rank
+
+
+def fit_weights(rank: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Weights of pieces, which add up to 1, and (a, b, part of the counts). For each a and b the part
+    is found by expectation maximisation; without counts a and b are 1 and 10 and the part is 0."""
+    held = rank >= 0
+    counts = np.where(held, counts, 0).astype(float)
+    seen = counts.sum()
+    tried = []
+    for a in EXPONENTS if seen > 1 else (1.0,):
+        for b in OFFSETS if seen > 1 else (10.0,):
+            share = np.where(held, np.maximum(rank, 0) + b, np.inf) ** -a
+            share /= share.sum()
+            part = likelihood = 0.0
+            if seen > 1:
+                part, own = 0.5, counts > 0
+                n, given, others = counts[own], share[own], (counts[own] - 1) / (seen - 1)
+                for _ in range(ROUNDS):
+                    part = float((n * part * others / ((1 - part) * given + part * others)).sum() / seen)
+                likelihood = float((n * np.log((1 - part) * given + part * others)).sum())
+            tried.append((likelihood, a, b, part, share))
+    _, a, b, part, share = max(tried, key=lambda t: t[0])
+    return (1 - part) * share + part * counts / max(1.0, seen), (a, b, part)
+
+
 class Lattice:
     """Log weights of pieces; marginal() is the log chance of a word over all its segmentations."""
 
-    def __init__(self, path: str | None, counts: dict[int, int], n_words: int):
+    def __init__(self, path: str | None, weights: np.ndarray, go_on: float):
         model = vocabulary(path)
-        size = model.get_piece_size()
-        share = [0.0 if model.is_control(i) or model.is_unknown(i) else 1.0 / (10 + max(0.0, -model.get_score(i))) for i in range(size)]
-        rank_mass, seen = sum(share), sum(counts.get(i, 0) for i in range(size) if share[i])
-        learned = CORPUS if seen else 0.0
-        weight = [(1 - learned) * p / rank_mass + (learned * counts.get(i, 0) / seen if seen else 0.0) if p else 0.0 for i, p in enumerate(share)]
-        go_on = min(0.95, max(0.05, 1 - n_words / (seen + 1)))
         self.stop = math.log(1 - go_on) - math.log(go_on)
         self.log, self.byte = {}, [0.0] * 256
-        for i, w in enumerate(weight):
+        for i, w in enumerate(weights.tolist()):
             if w:
                 value = math.log(w) + math.log(go_on)
                 if model.is_byte(i):
@@ -196,13 +228,22 @@ class Lattice:
         return out
 
 
-def _marginals(path: str | None, counts: dict[int, int], n_words: int):
+def lattice_parts(path: str | None, counts: dict[int, int], n_words: int) -> tuple[np.ndarray, float]:
+    """Weights of the pieces and the chance to go on after one, from the pieces' counts in n_words words."""
+    rank = piece_ranks(path)
+    n = np.zeros(len(rank))
+    n[list(counts)] = list(counts.values())
+    n[rank < 0] = 0
+    return fit_weights(rank, n)[0], min(0.95, max(0.05, 1 - n_words / (n.sum() + 1)))
+
+
+def _marginals(path: str | None, weights: np.ndarray, go_on: float):
     schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("lattice", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
         for batch in batches:
-            lattice = lattice or Lattice(path, counts, n_words)
+            lattice = lattice or Lattice(path, weights, go_on)
             yield S.batch_of(schema, batch.column(0), batch.column(1), lattice.marginals(batch.column(0).to_pylist()))
 
     return run
@@ -255,7 +296,7 @@ def lm_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
     n, v = total + ends, types + (ends > 0)
     counts = {r.piece: r.n for r in words.filter("c > 0").select("word", "c").mapInArrow(_piece_counts(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     # small rows, much work: more tasks than their bytes would make
-    values = words.select("word", "c").repartition(1 + distinct // WORDS_A_TASK).mapInArrow(_marginals(path, counts, total), "word string, c long, lattice double")
+    values = words.select("word", "c").repartition(1 + distinct // WORDS_A_TASK).mapInArrow(_marginals(path, *lattice_parts(path, counts, total)), "word string, c long, lattice double")
     with_values = block_words.select("block", "word").join(cut(values, "values"), "word")
     scored = blocks.groupBy("block").cogroup(with_values.groupBy("block")).applyInArrow(_texts_of_block(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word_score double")
     return scored.select(id_out(), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "word_score")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from cotejo.llm import common, langid, lm_score, packing, queries, sharding, syncmers
@@ -140,7 +141,6 @@ def test_anchors_are_closed_syncmers_in_any_context(spark):
 
 
 def test_packing(docs, rows):
-    import numpy as np
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, capacity=64, with_ids=True).collect()
     pieces = defaultdict(list)
@@ -246,7 +246,7 @@ def test_lm_scores(docs, rows):
     for w, c in counts.items():
         for piece in lm_score.vocabulary().encode(w.decode()):
             segmented[piece] += c
-    lattice, end = lm_score.Lattice(None, segmented, n - ends), math.log10(ends / n)
+    lattice, end = lm_score.Lattice(None, *lm_score.lattice_parts(None, segmented, n - ends)), math.log10(ends / n)
     own = {i: w for i, w in tokens}
     for r in got:
         marginals = [lattice.marginal(x.decode()) for x in own[r.doc_id]]
@@ -256,7 +256,7 @@ def test_lm_scores(docs, rows):
 
 
 def test_lattice_sums_over_all_segmentations():
-    lattice = lm_score.Lattice(None, {5: 10, 300: 4}, 10)
+    lattice = lm_score.Lattice(None, *lm_score.lattice_parts(None, {5: 10, 300: 4}, 10))
 
     def every(text):
         """All ways to cut a text into pieces and chains of byte pieces."""
@@ -276,6 +276,39 @@ def test_lattice_sums_over_all_segmentations():
     assert lattice.marginals(many).tolist() == pytest.approx([lattice.marginal(w) for w in many])
 
 
+def test_lattice_weights():
+    """The weight formula over again, in plain Python; a, b and the part are the likeliest of those near."""
+    model, rng = lm_score.vocabulary(), random.Random(5)
+    rank = lm_score.piece_ranks(None)
+    merges = [i for i in range(len(rank)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and model.id_to_piece(i).strip("▁")]
+    assert [rank[i] for i in merges] == [-model.get_score(i) for i in merges]
+    last = 1 + max(rank[i] for i in merges)
+    assert all(rank[i] == (-1 if model.is_control(i) or model.is_unknown(i) else last) for i in set(range(len(rank))) - set(merges))
+    counts = np.zeros(len(rank))
+    for _ in range(20_000):
+        counts[merges[min(len(merges) - 1, int(rng.paretovariate(0.6)))]] += 1
+    weights, (a, b, part) = lm_score.fit_weights(rank, counts)
+    seen = sum(counts)
+
+    def weight(a, b, part, left_out):
+        shares = [(r + b) ** -a if r >= 0 else 0.0 for r in rank.tolist()]
+        mass = sum(shares)
+        return [(1 - part) * s / mass + part * max(0.0, c - left_out) / (seen - left_out) for s, c in zip(shares, counts.tolist(), strict=True)]
+
+    assert weights.tolist() == pytest.approx(weight(a, b, part, 0)) and sum(weights) == pytest.approx(1)
+
+    def likelihood(*parts):
+        return sum(c * math.log(w) for c, w in zip(counts.tolist(), weight(*parts, 1), strict=True) if c)
+
+    best = likelihood(a, b, part)
+    assert 0 < part < 1 and best > likelihood(a, b, part * 0.97) and best > likelihood(a, b, part + 0.03 * (1 - part))
+    assert all(best >= likelihood(x, y, part) - 1e-6 for x in lm_score.EXPONENTS for y in lm_score.OFFSETS)
+    assert lm_score.fit_weights(rank, np.zeros(len(rank)))[1] == (1.0, 10.0, 0.0)
+    one = np.zeros(len(rank))
+    one[merges[7]] = 50  # a single piece in all words: the others keep some weight
+    assert lm_score.fit_weights(rank, one)[0][merges].min() > 0
+
+
 def test_empty_tables(nothing):
     assert sharding.propagate(nothing).count() == 0
     assert syncmers.fingerprints(nothing).count() == 0
