@@ -140,7 +140,7 @@ def fit_weights(rank: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, tuple
                 part, own = 0.5, counts > 0
                 n, given, others = counts[own], share[own], (counts[own] - 1) / (seen - 1)
                 for _ in range(ROUNDS):
-                    part = float((n * part * others / ((1 - part) * given + part * others)).sum() / seen)
+                    part = float((n * part * others / ((1 - part) * given + part * others)).sum() / (seen + 1))  # one piece more, from the shares
                 likelihood = float((n * np.log((1 - part) * given + part * others)).sum())
             tried.append((likelihood, a, b, part, share))
     _, a, b, part, share = max(tried, key=lambda t: t[0])
