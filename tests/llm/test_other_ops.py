@@ -382,7 +382,7 @@ def test_pipeline_edges(spark, docs, nothing, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 14))
 
 
 def test_pipeline_near_dedup_at_80(spark):
