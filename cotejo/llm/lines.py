@@ -6,11 +6,13 @@ at Jaccard `percent` or more share a token among their first n - ceil(percent *
 common order; such prefixes meet in equi-joins, with length and positional bounds, and the full
 sets decide.
 
-1. Which lines have company at all? In an order of shingles by the hash of their first word a
-   prefix is cut at a first word, so only the shingles of prefixes are hashed, straight from the
-   scan. Lines whose prefix tokens are all their own leave here: most of them.
-2. The rest are tokenized whole, and ordered by rarity (a count of their shingles in 65,536 hash
-   places, a table of fixed size; ties by hash). Their rarity prefixes are joined.
+1. Which lines have company at all? In an order of shingles by their first word (long ones first,
+   then by hash) a prefix is cut at a first word, so only the shingles of prefixes are hashed,
+   straight from the scan. Lines whose prefix tokens are all their own leave here: most of them.
+   Lines that share a token of at most COLD rows are pairs, if their lengths allow a match.
+2. Lines of those pairs and of tokens with more rows are tokenized whole. The latter are ordered by
+   rarity (a count of their shingles in 65,536 hash places, a table of fixed size; ties by hash), and
+   their rarity prefixes are joined: a match whose first common token is such a one is found there.
 
 Equal lines count once, at their first place. A line goes if any earlier line matches, so not all
 pairs of a group are needed: first each prefix token proposes only its earliest line, of which a
@@ -37,13 +39,19 @@ PLACES = 1 << 16
 LOW48 = (1 << 48) - 1
 #: Earliest lines of its tokens that a line tries first.
 PIVOTS = 2
+#: Lines of a token up to here are paired at once.
+COLD = 64
+#: Bits of a line's hash that name it beside a token; below them are its number of windows (12 bits) and how many
+#: fewer first words it has (12), each up to the most that fits.
+ID = -(1 << 24)
 #: A line's place, with a hash of its bytes (rows may repeat an id), and a second hash.
 AT, ALL = ["doc_id", "line_no", "h"], ["doc_id", "line_no", "h", "g"]
 
 
 def _words(line: Column, short: bool) -> Column:
     if short:
-        line = F.when(line.rlike("[\t\x0b-\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+        other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+        line = F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
     return F.array_remove(F.split(line, " "), "")
 
 
@@ -55,39 +63,74 @@ def _prefix_size(n: Column, percent: int) -> Column:
     return n - F.floor((percent * n + 99) / 100).cast("int") + 1
 
 
+def _lines(texts: DataFrame, size: int, short: bool) -> DataFrame:
+    """ALL for each line that has a token."""
+    lines = texts.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    rows = lines.filter(F.col("line").rlike(r"[^\t\x0b-\r ]" if short else rf"(?:[^ ]++ ++){{{size - 1}}}+[^ ]"))
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
+
+
+def _order(word: Column) -> Column:
+    """A hash by which long words, which are mostly rare ones, come first."""
+    return F.shiftrightunsigned(F.xxhash64(word), 5) - F.shiftleft(F.least(F.octet_length(word), F.lit(15)).cast("long"), 59)
+
+
 def _first_prefixes(texts: DataFrame, percent: int, size: int, short: bool) -> DataFrame:
-    """ALL and token for each token of each line's prefix in the order of first words. The prefix holds
-    as many first words as it needs tokens were all windows different, so never too few. Rows of a
-    line's least first word have its place and g, the others h alone."""
+    """token and p (see ID) for each token of each line's prefix in the order of first words. The prefix
+    holds as many first words as it needs tokens were all windows different, so never too few."""
     # outer explodes and null-safe tests: else the optimizer copies the arrays' expressions into filters below
-    lines = texts.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    hashes = F.transform(_words(F.col("line"), short), lambda w: F.xxhash64(w)).alias("w")
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), hashes)
+    lines = texts.select(F.explode_outer(F.split("text", "\n")).alias("line"))
+    rows = lines.select(F.xxhash64("line").alias("h"), F.transform(_words(F.col("line"), short), _order).alias("w"))
     n = F.size("w")
     few = (n > 0) & (n < size) if short else F.lit(False)
     starts = F.slice("w", F.lit(1), F.when(few, 1).otherwise(F.greatest(n - size + 1, F.lit(0))))
     rows = rows.withColumn("first_words", F.sort_array(F.array_distinct(starts)))
-    last = F.get("first_words", F.least(F.size("first_words"), _prefix_size(n - size + 1, percent)) - 1).alias("last")
-    rows = rows.select(*ALL, "w", F.get("first_words", F.lit(0)).alias("lead"), last, F.posexplode_outer(starts).alias("i", "own")).filter(F.coalesce(F.col("own") <= F.col("last"), few))
+    windows = F.greatest(n - size + 1, F.lit(1))
+    last = F.get("first_words", F.least(F.size("first_words"), _prefix_size(windows, percent)) - 1).alias("last")
+    fewer = F.least(windows - F.size("first_words"), F.lit(4095))
+    line = F.col("h").bitwiseAND(F.lit(ID)) + F.least(windows, F.lit(4095)) * 4096 + fewer
+    rows = rows.select(line.alias("p"), "w", last, F.posexplode_outer(starts).alias("i", "own")).filter(F.coalesce(F.col("own") <= F.col("last"), few))
     token = _shingle(F.col("w"), F.col("i"), size)
     if short:
         token = F.when(few, F.xxhash64(F.col("w"), F.lit(size))).otherwise(token)
-    placed = [c if c == "h" else F.when(F.col("own") == F.col("lead"), F.col(c)).alias(c) for c in ALL]
-    return rows.select(*placed, token.alias("token"))
+    return rows.select(token.alias("token"), "p")
+
+
+def _id(p: Column) -> Column:
+    return p.bitwiseAND(F.lit(ID))
+
+
+def _may_match(p: Column, q: Column, percent: int) -> Column:
+    """Whether lines can match by their lengths: a line has as many tokens as first words at least, as windows at most."""
+
+    def test(p: Column, q: Column) -> Column:
+        most, windows = (F.shiftright(x, 12).bitwiseAND(F.lit(4095)) for x in (p, q))
+        return (most == 4095) | (windows == 4095) | (100 * most >= percent * (windows - q.bitwiseAND(F.lit(4095))))
+
+    return (_id(p) != _id(q)) & test(p, q) & test(q, p)
+
+
+def _few_pairs(several: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """a and b, the ids of lines that share a token of at most COLD rows and may match."""
+    two = several.filter("c = 2").select("lo", "hi")
+    cold = shared.filter(F.col("c") <= COLD)
+    more = cold.select("token", F.col("p").alias("lo")).join(cold.select("token", F.col("p").alias("hi")).hint("shuffle_hash"), "token").filter("lo < hi").select("lo", "hi")
+    return two.union(more).filter(_may_match(F.col("lo"), F.col("hi"), percent)).select(_id(F.col("lo")).alias("a"), _id(F.col("hi")).alias("b")).distinct()
 
 
 def _sets(texts: DataFrame, company: DataFrame, size: int, short: bool) -> DataFrame:
-    """at and the distinct shingles of the lines in company."""
-    asked = company.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
-    found = texts.join(asked.hint("merge"), "doc_id")
-    lines = let(F.split("text", "\n"), lambda p: F.transform("nos", lambda k: F.struct(k.alias("line_no"), F.get(p, k).alias("line"))))
+    """at, its id, hot and the n distinct shingles of the lines in company."""
+    asked = company.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hot")).alias("nos"))
+    found = texts.join(asked.hint("shuffle_hash"), "doc_id")
+    lines = let(F.split("text", "\n"), lambda p: F.transform("nos", lambda k: F.struct(k.line_no.alias("line_no"), k.hot.alias("hot"), F.get(p, k.line_no).alias("line"))))
     line = F.col("one.line")
-    rows = found.select("doc_id", F.explode_outer(lines).alias("one")).select("doc_id", "one.line_no", F.xxhash64(line).alias("h"), F.transform(_words(line, short), lambda w: F.xxhash64(w)).alias("w"))
+    rows = found.select("doc_id", F.explode_outer(lines).alias("one")).select("doc_id", "one.line_no", "one.hot", F.xxhash64(line).alias("h"), F.transform(_words(line, short), lambda w: F.xxhash64(w)).alias("w"))
     tokens = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle(F.col("w"), i, size)))
     if short:
         tokens = F.when(F.size("w").between(1, size - 1), F.array(F.xxhash64(F.col("w"), F.lit(size)))).otherwise(tokens)
-    rows = rows.select(F.struct(*AT).alias("at"), F.array_distinct(tokens).alias("tokens"))
-    return rows.groupBy("at").agg(F.first("tokens").alias("tokens")).filter("tokens is not null")
+    # rows may repeat an id with the same line; they are where the join has dealt them
+    rows = rows.groupBy(*AT).agg(F.first("hot").alias("hot"), F.first(F.array_distinct(tokens)).alias("tokens"))
+    return rows.select(F.struct(*AT).alias("at"), _id(F.col("h")).alias("id"), "hot", F.size("tokens").alias("n"), "tokens").filter("tokens is not null")
 
 
 def _rarity(sets: DataFrame) -> Column:
@@ -128,10 +171,18 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.groupBy("at", "other").agg(F.count("*").alias("c"), F.bool_or("enough").alias("enough")).filter("enough").select("at", "other", "c")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(_id(F.col("at.h")).alias("a"), _id(F.col("other.h")).alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The lines `at` of pairs whose sets are as near as percent."""
-    a, b = sets.select("at", F.col("tokens").alias("x")), sets.select(F.col("at").alias("other"), F.col("tokens").alias("y"))
-    both = pairs.hint("merge").join(a, "at").join(b.hint("merge"), "other").select("at", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
+    """The later lines `at` of the pairs of ids whose sets are as near as percent."""
+    a, b = sets.select(F.col("id").alias("a"), "at", F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("at").alias("other"), F.col("tokens").alias("y"))
+    sizes = sets.select(F.col("id").alias("b"), F.col("n").alias("m"))
+    sized = pairs.hint("merge").join(sizes.hint("merge"), "b").join(a.hint("merge"), "a")
+    near = sized.filter((percent * F.size("x") <= 100 * F.col("m")) & (percent * F.col("m") <= 100 * F.size("x"))).select("b", "at", "x")
+    both = near.join(b.hint("merge"), "b").filter("at != other")
+    both = both.select(F.greatest("at", "other").alias("at"), F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("sum"))
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("sum")).select("at").distinct()
 
 
@@ -147,30 +198,34 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
     lines of one place in the order of their hashes, whose removed lines go from each row. Other
     columns are ignored; an empty table gives an empty result."""
     texts = docs.select(id_in(), F.col("text").cast("string").alias("text"))
-    tokens = cut(_first_prefixes(texts, percent, size, short), "tokens")
     # a line may be there more than once, as rows may repeat a document
-    lines = cut(tokens.select(*ALL).filter("doc_id is not null"), "lines")
-    several = cut(tokens.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("token"), "several")
-    # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
-    company = cut(tokens.select("token", "h").join(several.hint("shuffle_hash"), "token").select("h").distinct(), "company")
-    drop(tokens, several)
+    lines = cut(_lines(texts, size, short), "lines")
     firsts = cut(lines.groupBy("h", "g").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("c")), "firsts")
-    asked = firsts.hint("merge").join(company.hint("merge"), "h").select("first.doc_id", "first.line_no")
-    sets = cut(_sets(texts, asked, size, short), "sets")
-    prefixes = cut(_prefixes(sets, percent), "prefixes")
+    tokens = cut(_first_prefixes(texts, percent, size, short), "tokens", dictionary=False)
+    several = cut(tokens.groupBy("token").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("c")).filter("lo < hi"), "several")
+    # few of the tokens: hashed on that side, while the other one streams by and is split where it is hot
+    members = cut(tokens.join(several.filter("c > 2").select("token", "c").hint("shuffle_hash"), "token"), "members")
+    few = cut(_few_pairs(several, members, percent), "few")
+    hot = cut(members.filter(F.col("c") > COLD).select(_id(F.col("p")).alias("id")).distinct(), "hot")
+    drop(tokens, several, members)
+    company = few.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("hot")).union(hot.select("id", F.lit(True))).groupBy("id").agg(F.max("hot").alias("hot"))
+    asked = firsts.withColumn("id", _id(F.col("h"))).hint("merge").join(company.hint("merge"), "id").select("first.doc_id", "first.line_no", "hot")
+    sets = cut(_sets(texts, asked, size, short), "sets", dictionary=False)
+    prefixes = cut(_prefixes(sets.filter("hot"), percent), "prefixes")
     several = prefixes.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = cut(prefixes.join(cut(several, "several").hint("shuffle_hash"), "token"), "shared")
-    drop(company, prefixes)
+    drop(hot, prefixes)
 
     pivot = shared.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("e")).select("token", "e.*")
     order = Window.partitionBy("at").orderBy(F.desc("c"), "other")
     tried = _pairs(_meet(shared, pivot, percent)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).select("at", "other")
     tried = cut(tried, "tried")
-    first_gone = cut(_verified(tried, sets, percent), "gone")
+    first_gone = cut(_verified(_ids(tried), sets, percent), "gone")
     rest = cut(shared.join(first_gone.hint("merge"), "at", "left_anti"), "rest")
     met = _meet(rest, shared.filter(_shorter(percent)), percent).union(_meet(rest.filter(_shorter(percent)), shared, percent))
-    pairs = cut(_pairs(met).select("at", "other"), "pairs")
-    drop(shared, rest, tried)
+    # only counts need the other rows of a pair: here they leave inside the join
+    pairs = cut(_ids(met.filter("enough").select("at", "other").distinct()).union(few), "pairs")
+    drop(shared, rest, tried, few)
     gone = cut(first_gone.union(_verified(pairs, sets, percent)).distinct(), "gone")
     drop(sets, pairs, first_gone)
 
@@ -182,11 +237,12 @@ def removed_lines(docs: DataFrame, percent: int = 80, size: int = 5, short: bool
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """A struct `row` of each row's columns, n_lines, removed and kept (the other lines, joined by
+    """A struct `row` of each row's columns but text, n_lines, removed and kept (the other lines, joined by
     line feeds; null for a null text)."""
-    rows = docs.select(F.struct("*").alias("row"), id_in(), F.col("text").cast("string").alias("text"))
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), id_in(), F.col("text").cast("string").alias("text"))
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = rows.join(removed.hint("merge"), "doc_id", "left").withColumn("feeds", feeds)
+    rows = rows.join(removed.hint("shuffle_hash"), "doc_id", "left").withColumn("feeds", feeds)
 
     def left(p: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "removed"), lambda i: F.get(p, i)), "\n")

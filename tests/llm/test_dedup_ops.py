@@ -264,3 +264,61 @@ def test_line_dedup_of_short_lines(spark):
     got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.removed for r in got} == gone
     assert len({texts[i].split("\n")[k] for i in gone for k in gone[i]}) > 8
+
+
+def edited_lines(rng) -> dict:
+    """Texts of lines and their edited copies at all distances; among them lines of few different words, long ones, and a passage in many."""
+    passage = [f"p{k}" for k in range(12)]
+
+    def line(n, words):
+        return [f"w{rng.randrange(words)}" for _ in range(n)]
+
+    bases = [line(n, words) for n in (3, 6, 9, 14, 30, 60) for words in (8, 10**6)] + [line(300, 2), line(700, 10**6), line(4300, 10**6)]
+    bases += [passage + line(n, 10**6) for n in (3, 6, 12, 40) for _ in range(6)]
+    out = {}
+    for i in range(40):
+        parts = []
+        for base in rng.sample(bases, 6):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 2 + len(copy) // 12)):
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+            cut = rng.choice([0, 0, len(copy) // 10, len(copy) // 5])
+            parts.append(" ".join(copy[cut:] if rng.random() < 0.5 else copy[: len(copy) - cut]))
+        out[i] = "\n".join(parts)
+    return out
+
+
+@pytest.mark.parametrize("cold", [1, 4, 64])
+def test_line_dedup_of_pairs_and_of_hot_tokens(spark, monkeypatch, cold):
+    """Lines of a token are paired at once, or, where there are more than COLD, ordered by rarity first."""
+    monkeypatch.setattr(lines, "COLD", cold)
+    texts = edited_lines(random.Random(21))
+    want = defaultdict(list)
+    for i, k in sorted(near_lines(texts)):
+        want[i].append(k)
+    got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in got} == want
+    assert 30 < sum(map(len, want.values())) < 200
+
+
+def test_lines_that_can_not_match_get_no_sets(spark, monkeypatch):
+    """Lines that share a passage, but not their length, leave before their texts are read again."""
+    asked, sets = [], lines._sets
+
+    def seen(texts, company, *rest):
+        asked.append(sorted(r.doc_id for r in company.select("doc_id").collect()))
+        return sets(texts, company, *rest)
+
+    monkeypatch.setattr(lines, "_sets", seen)
+    passage = [f"p{k}" for k in range(16)]
+    texts = {n: " ".join(passage + [f"w{n}x{k}" for k in range(n)]) for n in (0, 100, 1000)}
+    texts[2000] = texts[100] + " more"
+    got = lines.removed_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.removed) for r in got] == [(2000, [0])]
+    assert asked == [[100, 2000]]
+
+
+def test_kept_lines_hold_a_text_once(docs):
+    removed = lines.removed_lines(docs)
+    assert "text" not in lines.without_lines(docs, removed).schema["row"].dataType.names
