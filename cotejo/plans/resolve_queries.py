@@ -59,7 +59,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = i.submissions(spark, sf_dir)
-    return resolve.retrieve(subs.select("sub_id", resolve._query("titulo", "autor")), _catalog(spark, sf_dir))
+    return resolve.retrieve(subs.select("sub_id", resolve._query("titulo", "autor")), resolve.index(_catalog(spark, sf_dir), stored=True))
 
 
 def verify_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,8 @@ def answer_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs, catalog = i.submissions(spark, sf_dir), resolve.index(_catalog(spark, sf_dir), stored=True)  # read by three retrievals
     answers = external.answers(_answers(spark, sf_dir))
-    decided = resolve.decide(subs, resolve.ranked_groups(subs, catalog), answers, resolve.confirmations(answers, catalog))
+    # each part ends its lineage, so that the driver never plans them all at once
+    decided = resolve.decide(subs, resolve.ranked_groups(subs, catalog).checkpoint(), answers, resolve.confirmations(answers, catalog).checkpoint())
     return resolve.hint(resolve.intake_outcome(decided))
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from cotejo.operators import resolve
+from cotejo.plans import registry
 
 CATALOG = "source string, ord int, titulo string, autor string, year int"
 
@@ -68,3 +69,10 @@ def test_copies_are_one_kind(spark):
     for r in sorted(resolve.retrieve(spark.createDataFrame(queries, "sub_id long, query string"), found).collect(), key=lambda r: r.ord):
         got[r.sub_id, r.source].append(r.year)
     assert dict(got) == plain([(k, q.lower()) for k, q in queries], catalog, 7)
+
+
+@pytest.mark.parametrize("name", ["answer_confirmations", "verify_scores", "consensus_groups", "resolve_decisions"])
+def test_plans_stay_small(spark, sf_dir, name):
+    """The driver never plans retrieval and scoring at once (38 joins for the first two before)."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 5
