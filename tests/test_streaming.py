@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from cotejo.operators import dedup
 from cotejo.sources import catalog as cat
 from cotejo.streaming import intake
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def test_rows_are_taken_in_turn(spark):
     assert sorted(r.sub_id for r in intake.in_turn(rows, blocks.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_heads_equal_all_rows_at_once(spark, monkeypatch):
+    titles, authors = ["Dune", "Dunes", "Dune: una novela", "Sapiens", "Sapines", "Rayuela", "1984"], ["Frank Herbert", "F. Herbert", "Yuval Harari"]
+    rows = [(k, titles[k * 5 % 7], authors[k * 7 % 11 % 3], "", k % 4 == 1) for k in range(40)]
+    subs = spark.createDataFrame(rows, "sub_id long, titulo string, autor string, nota string, confirm boolean").checkpoint()
+    found = [r for r in dedup.similar_rows(subs, subs.withColumnRenamed("sub_id", "line_no")).collect() if r.line_no < r.sub_id]
+    taken = []
+    for k, *_, confirm in rows:
+        if not any(r.sub_id == k and r.line_no in taken and (r.tier == "exact" or not confirm) for r in found):
+            taken.append(k)
+    for head in (9, 2000):
+        monkeypatch.setattr(intake, "HEAD", head)
+        assert sorted(r.sub_id for r in intake.in_heads(subs).collect()) == taken and 4 < len(taken) < 20
+
+
 def test_blanks_of_all_kinds(spark):
     lines = spark.createDataFrame([(1, "titulo,autor\r"), (2, "\tDune\u00a0,Herbert\r"), (3, "\r"), (4, "\u00a0,x"), (5, "a,b,c")], "line_no long, line string")
     assert [(r.line_no, r.titulo, r.autor, r.compared) for r in cat.catalog_rows(lines).orderBy("line_no").collect()] == [(2, "Dune", "Herbert", True), (4, "", "x", False), (5, "a", "b", True)]
